@@ -1,3 +1,126 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from arcweave.llm import licenses, linededup, queries, url_filters
+
+UPPER, LOWER = url_filters.UPPER, url_filters.LOWER
+
+
+def _license_sql() -> str:
+    """Base phrases by list positions; templates as regular expressions over the joined words."""
+    places, flags = [], []
+    for phrase, label in licenses.PHRASES.items():
+        words = phrase.split()
+        tests = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        places.append(f"list_filter(range(1, n - {len(words)} + 2), lambda i: {tests})")
+        flags.append(f"CASE WHEN len(p{len(flags)}) > 0 THEN '{label}' END")
+    columns = ", ".join(f"{p} AS p{i}" for i, p in enumerate(places))
+    joined = f"flatten([{', '.join(f'p{i}' for i in range(len(places)))}])"
+    found = [f"CASE WHEN regexp_matches(j, '{licenses.template_regex(t)}') THEN '{k}' END" for k, t in licenses.TEMPLATES.items()]
+    names = lambda parts: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT doc_id, w, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS j FROM a),
+c AS (SELECT doc_id, n, j, {columns} FROM b),
+d AS (SELECT *, {joined} AS p, {names(found)} AS templates FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word,
+  CAST(list_max(p) - 1 AS BIGINT) AS last_word, {names(flags)} AS base_labels, {names([*flags, *found])} AS labels,
+  CAST(CASE WHEN templates <> '' THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+FROM d"""
+
+
+def _domain_sql(host: str) -> tuple[str, str]:
+    two = f"array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.')"
+    three = f"array_to_string(list_slice(string_split({host}, '.'), -3, -1), '.')"
+    listed = ", ".join(f"'{x}'" for x in url_filters.TWO_LABEL_SUFFIXES)
+    domain = f"CASE WHEN {two} IN ({listed}) THEN {three} ELSE {two} END"
+    return domain, f"CASE WHEN {two} IN ({listed}) THEN {two} ELSE list_extract(string_split({host}, '.'), -1) END"
+
+
+def _strength_sql(nodes: str) -> str:
+    lo, hi = url_filters.LEAST_STRENGTH, url_filters.MOST_STRENGTH
+    return f"""(SELECT CASE WHEN c = 0 OR p = c THEN {hi} WHEN (s - c) / (p - c) <= 0 THEN {hi}
+      ELSE least({hi}, greatest({lo}, 1 / ((s - c) / (p - c)) - 1)) END
+    FROM (SELECT sum(n * power(k / n - m, 2) / (m * (1 - m))) AS s, count(*) AS c, sum(n) AS p FROM {nodes} WHERE m > 0 AND m < 1))"""
+
+
+def _url_sql(z: float = 1.0, threshold: float = 0.5) -> str:
+    domain, suffix = _domain_sql("host")
+    rules = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"((u.host = '{h}' OR ends_with(u.host, '.{h}')) AND starts_with(path, '{p}'))", h + p, kind) for kind, h, p in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{k}'" for f, _, k in fits) + " END"
+    return f"""
+WITH q AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+marks AS (SELECT doc_id AS page_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM u JOIN marks USING (page_id) GROUP BY 1),
+hosts AS (SELECT host, n, k, {domain} AS domain, {suffix} AS suffix FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM hosts) AS m FROM hosts GROUP BY 1),
+s1 AS (SELECT suffix, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("s0")} AS g FROM s0)),
+d0 AS (SELECT domain, x.suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts x JOIN s1 ON x.suffix = s1.suffix GROUP BY 1, 2),
+d1 AS (SELECT domain, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("d0")} AS g FROM d0)),
+h0 AS (SELECT host, n, k, m FROM hosts x JOIN d1 ON x.domain = d1.domain),
+h1 AS (SELECT host, g * m + k AS a, g * (1 - m) + n - k AS b FROM (SELECT *, {_strength_sql("h0")} AS g FROM h0)),
+blocked AS (SELECT host FROM h1 WHERE a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {threshold})
+SELECT page_id, u.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN blocked ON u.host = blocked.host"""
+
+
+def _line_sql() -> str:
+    space = "[ \\x09-\\x0D]"
+    dropped = "f.key IS NOT NULL AND k.doc_id <> f.last"
+    return f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^{space}+|{space}+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {linededup.MIN_CHARS} GROUP BY key
+  HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS})
+SELECT k.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE {dropped}) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT ({dropped}) OR f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id"""
+
+
+def _weight_sql(level: str) -> str:
+    named = queries.MIX_WEIGHTS.get(level, {})
+    return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in named.items()) + " ELSE 1.0 END" if named else "1.0"
+
+
+def _mix_sql() -> str:
+    """Water levels level by level, then prefixes in the order of a seeded digest."""
+    epochs, seed = queries.MIX_EPOCHS, queries.MIX_SEED
+    levels = ("domain", "lang", "source")
+    parts = []
+    for depth, level in enumerate(levels, 1):
+        keys, up = levels[:depth], levels[: depth - 1]
+        key, parent = ", ".join(keys), ", ".join(up)
+        over = f"PARTITION BY {parent}" if up else ""
+        given = f"(SELECT floor(sum(total) * {queries.MIX_SHARE}) FROM leaves)" if not up else "g.budget"
+        join = "" if not up else f" JOIN b{depth - 1} g ON " + " AND ".join(f"c.{k} IS NOT DISTINCT FROM g.{k}" for k in up)
+        cols = ", ".join(f"c.{k}" for k in keys)
+        parts.append(f"""
+c{depth} AS (SELECT {key}, CAST(sum(total) * {epochs} AS DOUBLE) AS capacity, CAST({_weight_sql(level)} AS DOUBLE) AS weight FROM leaves GROUP BY {key}),
+v{depth} AS (SELECT {cols}, c.capacity, c.weight, c.capacity / c.weight AS fill, CAST({given} AS DOUBLE) AS given FROM c{depth} c{join}),
+w{depth} AS (SELECT *, (given - coalesce(sum(capacity) OVER ({over} ORDER BY fill, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER ({over}) - coalesce(sum(weight) OVER ({over} ORDER BY fill, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM v{depth}),
+x{depth} AS (SELECT *, max(CASE WHEN lev < fill THEN lev END) OVER ({over}) AS stop FROM w{depth}),
+b{depth} AS (SELECT {key}, CASE WHEN stop IS NULL THEN capacity ELSE least(capacity, greatest(0, weight * stop)) END AS budget FROM x{depth})""")
+    same = " AND ".join(f"r.{k} IS NOT DISTINCT FROM b.{k}" for k in levels)
+    return f"""
+WITH m AS (SELECT doc_id, CASE WHEN right(source, 1) IN ('0', '1', '2', '3', '4') THEN 'web' WHEN right(source, 1) IN ('5', '6', '7') THEN 'reference' ELSE 'code' END AS domain,
+  lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS total FROM m GROUP BY 1, 2, 3),{",".join(parts)},
+r AS (SELECT m.*, e.epoch, md5('{seed}:' || e.epoch || ':' || m.doc_id) AS place FROM m CROSS JOIN (SELECT unnest(range(0, {epochs})) AS epoch) e),
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM r)
+SELECT r.doc_id, r.domain, r.lang, r.source, r.n_tokens, CAST(r.epoch AS INT) AS epoch, CAST(r.after - r.n_tokens AS BIGINT) AS before
+FROM s r JOIN b3 b ON {same} WHERE r.after <= floor(b.budget)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op2_url_filter": _url_sql(),
+    "op8_line_dedup": _line_sql(),
+    "op10_mix": _mix_sql(),
+}
