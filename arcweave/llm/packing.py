@@ -38,7 +38,7 @@ REMEMBERED = 300_000
 #: Pieces of one length that are ranked in one group, about.
 GROUP = 50_000
 #: Texts of these characters are split at white space word by word; others go to the tokenizer whole.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -181,6 +181,19 @@ def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> n
     return x
 
 
+#: Shares of the fitted counts that plans keep: patterns that use up short pieces can cost more than they fill.
+KEEPS = (1.0, 0.75, 0.5, 0.25, 0.1)
+
+
+def fit(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, repeat counts) of a length histogram."""
+    size = len(histogram) - 1
+    left = histogram.astype(np.int64).copy()
+    left[0] = 0
+    found = patterns(np.flatnonzero(left), size)
+    return found, fit_counts(found, left)
+
+
 class Plan:
     """Where each rank of each length goes: runs (length, first rank, count, copies, sequence, offset).
 
@@ -188,17 +201,16 @@ class Plan:
     ``sequence + i // copies``, at ``offset + (i % copies) * length``.
     """
 
-    def __init__(self, histogram: np.ndarray):
+    def __init__(self, histogram: np.ndarray, keep: float = 1.0, fitted: tuple[np.ndarray, np.ndarray] | None = None):
         size = len(histogram) - 1
         left = histogram.astype(np.int64).copy()
         left[0] = 0
         self._used = np.zeros(size + 1, dtype=np.int64)
         self._runs: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
-        found = patterns(np.flatnonzero(left), size)
-        x = fit_counts(found, left)
+        found, x = fitted or fit(left)
         for i in np.argsort(-x, kind="stable"):
-            n = int(np.floor(x[i] + 1e-9))
+            n = int(np.floor(keep * x[i] + 1e-9))
             if n < 1:
                 break
             lengths = [int(v) for v in found[i] if v]
@@ -216,6 +228,12 @@ class Plan:
         self.runs = runs
         self._key = runs[:, 0] * (1 << 48) + runs[:, 1]
 
+    @classmethod
+    def best(cls, histogram: np.ndarray) -> Plan:
+        """The plan with fewest sequences of those that keep some of the fitted counts and leave the rest to best fit."""
+        fitted = fit(histogram)
+        return min((cls(histogram, keep, fitted) for keep in KEEPS), key=lambda p: p.sequences)
+
     def _take(self, length: int, n: int, copies: int, sequence: int, offset: int) -> None:
         self._runs.append((length, int(self._used[length]), n, copies, sequence, offset))
         self._used[length] += n
@@ -288,7 +306,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = np.zeros(size + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``size`` rows
         histogram[row["length"]] = row["count"]
-    plan = Plan(histogram)
+    plan = Plan.best(histogram)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     names = [c.split()[0] for c in schema.split(", ")]
 

@@ -298,9 +298,9 @@ def digest_rows(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """doc_id and text with every found span replaced by its kind in square brackets."""
-    found = find_spans(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text"))
+    found = find_spans(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text")).withColumnRenamed("doc_id", "doc")
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
     spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    text = F.coalesce(F.col("doc_id.text"), F.lit(""))
 
     def step(s, x):
         part = F.concat(s["out"], F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit("["), x["kind"], F.lit("]"))
@@ -308,4 +308,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     out = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return found.select(F.col("doc_id.doc_id").alias("doc_id"), out.alias("text"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), out.alias("text"))

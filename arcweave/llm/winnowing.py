@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, W = 24, 40
@@ -134,6 +134,28 @@ def splits(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+#: Bins by which the range of an id is looked up.
+BINS = 1 << 14
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` (ascending) lie below ``key``: a table by the key's high bits, then the few cuts in its bin."""
+    if not cuts:
+        return F.lit(0)
+    shift = 0
+    while (cuts[-1] >> shift) - (cuts[0] >> shift) >= BINS:
+        shift += 1
+    first = cuts[0] >> shift
+    inside = np.bincount([(c >> shift) - first for c in cuts])
+    below = np.cumsum(inside) - inside
+    held = F.least(F.greatest(F.shiftright(key, shift), F.lit(first)), F.lit(first + len(inside) - 1))
+    at = (held - F.lit(first)).cast("int") + 1
+    array = lambda values: F.array(*[F.lit(int(v)) for v in values])
+    start, n = F.element_at(array(below), at), F.element_at(array(inside), at)
+    held = F.slice(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), start + 1, n)
+    return start + F.size(F.filter(held, lambda c: c < key))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """``docs`` (doc_id, text) in ranges of doc_id, each followed by the first row of the next range.
 
@@ -143,10 +165,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """
     cuts = splits(docs, parts)
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # a null doc_id comes first
-    part = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-        part = F.aggregate(edges, F.lit(0), lambda n, c: n + (key > c).cast("int"))
+    part = range_of(key, cuts)
     rows = docs.select(part.alias("part"), "doc_id", "text", key.alias("key"))
     # the rows that may begin a range: those of its smallest key (repeated ids: the smallest text)
     firsts = {r["part"]: r["key"] for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect()}

@@ -228,7 +228,7 @@ def test_quality_against_labels(spark):
 
 
 def test_quality_keeps_columns(spark):
-    text = " ".join(f"word{i}" for i in range(200)) + "."
+    text = " ".join(f"word{i}" + "." * (i % 12 == 11) for i in range(204))
     kept = quality.keep_good(docs_of(spark, [*ODD, (50, text)], extra=True))
     assert kept.columns == docs_of(spark, [], extra=True).columns
     assert 50 in {r["doc_id"] for r in kept.collect()} and 1 not in {r["doc_id"] for r in kept.collect()}
@@ -274,6 +274,14 @@ def test_winnow_guarantee():
         assert set(winnowing.winnow(a)[0].tolist()) & set(winnowing.winnow(b)[0].tolist())
 
 
+def test_range_of(spark):
+    r = random.Random(2)
+    for cuts in ([5], [0, 1, 2], sorted({r.randrange(-50, 10**15) for _ in range(200)}), [-(1 << 62), 3, 4, 5, 1 << 62]):
+        keys = [-(1 << 63), (1 << 63) - 1, 0, *cuts, *[c + 1 for c in cuts], *[r.randrange(-100, 10**15) for _ in range(50)]]
+        df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", winnowing.range_of(F.col("k"), cuts).alias("n"))
+        assert all(x["n"] == sum(c < x["k"] for c in cuts) for x in df.collect())
+
+
 def test_winnow_edits(spark, sf):
     df = docs_of(spark, [(i, t) for i, t in dict(ODD).items() if i is not None]).unionByName(real_docs(spark, sf).where("doc_id > 20"))
     texts = sorted(((i, t or "") for i, t in pairs(df)))
@@ -352,7 +360,7 @@ def test_plan_is_tight():
             h = np.zeros(size + 1, dtype=np.int64)
             for _ in range(r.integers(1, 30)):
                 h[r.integers(1, size + 1)] += r.integers(0, 500)
-            plan = packing.Plan(h)
+            plan = packing.Plan.best(h)
             rows = []
             for v in range(1, size + 1):
                 if h[v]:
@@ -374,7 +382,7 @@ def test_plan_is_tight():
                         bins[room - v] += 1
                 return n
 
-            assert used <= first_fit() * 1.03 + 3
+            assert used <= first_fit() * 1.02 + 3
 
 
 # ---------------------------------------------------------------- 7 WARC
@@ -422,7 +430,8 @@ def test_archive_format(tmp_path):
     assert one.decompress(data[8 + size :]).startswith(b"WARC/1.1\r\nWARC-Type: response") and one.unused_data
     with path.open("rb") as f:
         assert [b for _, b in warc.read_archive(f)] == bodies
-    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(b)) for b in bodies)
+    records = [warc.record(i, f"http://h/{i}", b, warc.payload_digest(b), None) for i, b in enumerate(bodies)]
+    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(x)) for x in records)
     assert len(data) - size < plain
 
 
