@@ -368,8 +368,7 @@ def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     offsets, at = {}, 0
     for p in sorted(counts):
         offsets[p], at = at, at + counts[p]
-    base = F.lit(0).cast("long")
-    if offsets:
-        base = F.element_at(F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, int(o))]), F.col("_part")).cast("long")
+    table = [int(offsets.get(p, 0)) for p in range(max(offsets, default=0) + 1)]
+    base = F.element_at(F.array(*map(F.lit, table)), F.col("_part") + 1).cast("long")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
     return placed.withColumn(out, base + rank).drop("_part")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import discard, materialize
 
 #: Keys over which the edges of one node are spread.
 SALTS = 8
@@ -47,7 +47,7 @@ def component_links(links: DataFrame, u: str = "u", v: str = "v", max_rounds: in
     start = materialize(
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
     )
-    edges = start.where("u <> v")
+    edges, written = start.where("u <> v"), None
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:
@@ -61,7 +61,9 @@ def component_links(links: DataFrame, u: str = "u", v: str = "v", max_rounds: in
             .where("u <> v")
             .distinct()
         )
-        edges = materialize(small, "round")
+        old, written = written, materialize(small, "round")
+        discard(old)  # only the newest round is read from here on
+        edges = written
         after = _state(edges)
         if after == before:
             break

@@ -6,28 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from arcweave.plans.materialize import materialize
-
-#: Rounds between tables; the plan of so many rounds is run at once.
-EVERY = 1
-
-
-class NotSettled(RuntimeError):
-    """A loop reached its bound of rounds without a fixpoint."""
-
-
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame | None], rounds: int, name: str = "round", every: int = EVERY) -> DataFrame:
-    """``step`` up to ``rounds`` times; None from it ends the loop.
-
-    Each ``every`` rounds the state is written and read back, so plans stay
-    short and a lost executor costs at most that many rounds.
-    """
-    for i in range(rounds):
-        new = step(state, i)
-        if new is None:
-            return state
-        state = materialize(new, name) if (i + 1) % every == 0 else new
-    return state
+from arcweave.plans.materialize import discard, materialize
 
 
 def relax(state: DataFrame, spread: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], rounds: int, name: str = "relax") -> tuple[DataFrame, bool]:
@@ -36,9 +15,12 @@ def relax(state: DataFrame, spread: Callable[[DataFrame], DataFrame], merge: Cal
     ``spread`` makes proposals of the fresh rows, ``merge(state, proposals)``
     the next state with ``fresh`` on what improved.
     """
+    written = None
     for _ in range(rounds):
         fresh = state.where("fresh")
         if fresh.isEmpty():
             return state, True
-        state = materialize(merge(state, spread(fresh)), name)
+        old, written = written, materialize(merge(state, spread(fresh)), name)
+        discard(old)
+        state = written
     return state, state.where("fresh").isEmpty()

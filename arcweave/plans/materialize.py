@@ -39,7 +39,16 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of frames from :func:`materialize` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_written", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

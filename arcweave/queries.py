@@ -554,9 +554,9 @@ def transitivity_flow(spark, sf_dir):
     return one_row(spark, transitivity=round(float(approximate.transitivity_exact(undirected_flow(spark, sf_dir))), 9))
 
 
-@query(f"WITH {UFLOW} SELECT CAST((SELECT COUNT(*) FROM nodes) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS conflicts")
-def color_parallel_flow(spark, sf_dir):
-    g = undirected_flow(spark, sf_dir)
+@query(f"WITH {ds.SOLD} SELECT CAST((SELECT COUNT(DISTINCT src) + COUNT(DISTINCT dst) FROM sold) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS conflicts")
+def color_parallel_sold(spark, sf_dir):
+    g = ds.supp_part(spark, sf_dir)
     color = cliques.color_parallel(g)
     s, d = color.select(F.col("id").alias("src"), F.col("color").alias("a")), color.select(F.col("id").alias("dst"), F.col("color").alias("b"))
     return one_row(spark, nodes=color.count(), conflicts=g.edges.join(s, "src").join(d, "dst").where("a = b").count())
