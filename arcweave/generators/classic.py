@@ -90,7 +90,7 @@ def grid_2d(rows: int, cols: int, directed: bool = False) -> Graph:
 def complete_bipartite(m: int, n: int, directed: bool = False) -> Graph:
     if m < 1 or n < 1:
         return empty_graph(m + n, directed)
-    edges = _ids(m).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(m), F.lit(m + n - 1))).cast("long").alias("dst"))
+    edges = _ids(m).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(m).cast("long"), F.lit(m + n - 1).cast("long"))).alias("dst"))
     return _graph(m + n, edges, directed)
 
 
@@ -182,7 +182,7 @@ def crown(n: int, directed: bool = False) -> Graph:
     """Complete bipartite without the matching i - n + i."""
     if n < 1:
         return empty_graph(0, directed)
-    edges = _ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n), F.lit(2 * n - 1))).cast("long").alias("dst"))
+    edges = _ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n).cast("long"), F.lit(2 * n - 1).cast("long"))).alias("dst"))
     return _graph(2 * n, edges.where(F.col("dst") - F.col("src") != n), directed)
 
 

@@ -27,7 +27,7 @@ def _all_pairs(n: int, directed: bool) -> DataFrame:
     """Every pair of 0 .. n-1; quadratic by the model's definition, dealt over tasks by row."""
     if n < 2:
         return edge_frame([]).select("src", "dst")
-    rows = _ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0) if directed else F.col("id") + 1, F.lit(n))).cast("long").alias("dst"))
+    rows = _ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long") if directed else F.col("id") + 1, F.lit(n).cast("long"))).alias("dst"))
     return rows.where((F.col("dst") < n) & (F.col("src") != F.col("dst")) & (F.lit(True) if directed else F.col("dst") > F.col("src")))
 
 
@@ -102,19 +102,21 @@ def watts_strogatz(n: int, k: int, p: float, seed: int = 0, directed: bool = Fal
     if n < 3 or k < 2 or k >= n or k % 2 or not 0 <= p <= 1:
         return empty_graph(0, directed)
     r = random.Random(seed)
+    ring = [(u, (u + d) % n) for d in range(1, k // 2 + 1) for u in range(n)]
     near: dict[int, set[int]] = {u: set() for u in range(n)}
+    for u, v in ring:
+        near[u].add(v)
+        near[v].add(u)
     edges = []
-    for d in range(1, k // 2 + 1):
-        for u in range(n):
-            v = (u + d) % n
-            if r.random() < p and len(near[u]) < n - 1:
-                v = r.randrange(n)
-                while v == u or v in near[u]:
-                    v = r.randrange(n)
-            if v not in near[u]:
-                near[u].add(v)
-                near[v].add(u)
-                edges.append((u, v))
+    for u, v in ring:
+        if r.random() < p and len(near[u]) < n - 1:
+            new = r.choice([x for x in range(n) if x != u and x not in near[u]])
+            near[u].discard(v)
+            near[v].discard(u)
+            near[u].add(new)
+            near[new].add(u)
+            v = new
+        edges.append((u, v))
     return _from_pairs(n, edges, directed)
 
 

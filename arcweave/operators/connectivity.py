@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arcweave.model import Graph
 from arcweave.operators import kernels
@@ -117,9 +118,12 @@ def core_numbers(g: Graph, max_rounds: int = 10_000) -> DataFrame:
     degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
     state = materialize(g.nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "cores")
     for _ in range(max_rounds):
-        near = arcs.join(state.select(F.col("id").alias("dst"), "core"), "dst").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("core"), False).alias("c"))
-        h = F.expr("size(filter(transform(c, (x, i) -> x >= i + 1), x -> x))").cast("long")
-        new = materialize(state.join(near.select("id", h.alias("h")), "id", "left").select("id", "core", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("new")), "cores")
+        # neighbours are counted by value, not listed: the h-index is the largest least(value, how many reach it)
+        s, d = state.select(F.col("id").alias("src"), F.col("core").alias("own")), state.select(F.col("id").alias("dst"), "core")
+        counts = arcs.join(d, "dst").join(s, "src").groupBy(F.col("src").alias("id"), F.least("core", "own").alias("v")).agg(F.count("*").alias("n"))
+        reach = F.sum("n").over(Window.partitionBy("id").orderBy(F.col("v").desc()))
+        near = counts.select("id", F.least("v", reach).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
+        new = materialize(state.join(near, "id", "left").select("id", "core", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("new")), "cores")
         moved = not new.where("new < core").isEmpty()
         state = new.select("id", F.col("new").alias("core"))
         if not moved:

@@ -296,7 +296,7 @@ def arborescence(nodes, edges, root) -> list[tuple] | None:
         if any(n not in best for n in alive if n != root):
             return None
         state, cycle = {root: 2}, None
-        for n in sorted(alive):
+        for n in sorted(alive, key=repr):
             path, u = [], n
             while u not in state:
                 state[u] = 1

@@ -554,9 +554,9 @@ def transitivity_flow(spark, sf_dir):
     return one_row(spark, transitivity=round(float(approximate.transitivity_exact(undirected_flow(spark, sf_dir))), 9))
 
 
-@query(f"WITH {ds.SOLD} SELECT CAST((SELECT COUNT(DISTINCT src) + COUNT(DISTINCT dst) FROM sold) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS conflicts")
-def color_parallel_sold(spark, sf_dir):
-    g = ds.supp_part(spark, sf_dir)
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS conflicts FROM orders")
+def color_parallel_orders(spark, sf_dir):
+    g = transform.to_undirected(ds.order_chain(spark, sf_dir))
     color = cliques.color_parallel(g)
     s, d = color.select(F.col("id").alias("src"), F.col("color").alias("a")), color.select(F.col("id").alias("dst"), F.col("color").alias("b"))
     return one_row(spark, nodes=color.count(), conflicts=g.edges.join(s, "src").join(d, "dst").where("a = b").count())
@@ -662,3 +662,6 @@ def toroidal_walk(spark, sf_dir):
 def edge_ends(spark, sf_dir):
     g = Graph.from_frames(spark.range(5).select("id", F.lit(None).cast("string").alias("data")), canonical(edge_frame([(1, 0, 1)]), False), False)
     return g.degrees().where("degree = 0").agg(F.count("*").alias("isolated"))
+
+
+from arcweave import queries_extra  # noqa: E402, F401  registers more
