@@ -14,7 +14,7 @@ from arcweave.operators.centrality import per_source
 from arcweave.operators.local import MAX_EDGES, Local
 from arcweave.operators.planarity import tree_decomposition, treewidth_upper_bound  # noqa: F401
 from arcweave.operators.transform import transpose
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 def pivots(g: Graph, k: int, seed: int = 0) -> DataFrame:
@@ -129,16 +129,17 @@ def vertex_cover_parallel(g: Graph, seed: int = 0, max_rounds: int = 10_000) ->
     In each round the edges that are least by hash at both ends are matched.
     """
     edges = materialize(canonical(g.edges.select("src", "dst"), False).distinct().withColumn("h", F.xxhash64("src", "dst", F.lit(seed))), "edges")
-    cover = None
+    cover, left = None, None
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        if left == 0 or left is None and edges.isEmpty():
             break
         best = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"), F.struct("h", "src", "dst").alias("e")).groupBy("id").agg(F.min("e").alias("e"))
         both = best.groupBy("e").agg(F.count("*").alias("n")).where((F.col("n") == 2) | (F.col("e.src") == F.col("e.dst")))
         ends = materialize(both.select(F.explode(F.array_distinct(F.array("e.src", "e.dst"))).alias("id")).distinct(), "cover")
         cover = ends if cover is None else cover.unionByName(ends)
         gone = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_anti").join(ends.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        edges = materialize(gone.select("src", "dst", "h"), "edges")
+        edges = materialize(gone.select("src", "dst", "h"), "edges", n=F.count(F.lit(1)))
+        left = stat(edges, "n")
     return cover if cover is not None else g.nodes.select("id").where("false")
 
 

@@ -19,7 +19,7 @@ from arcweave.model import Graph
 from arcweave.operators import kernels
 from arcweave.operators.local import MAX_EDGES, Local
 from arcweave.operators.paths import distances_from
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 @dataclass(frozen=True)
@@ -135,10 +135,12 @@ def pagerank(g: Graph, options: PageRankOptions = default_pagerank_options) -> D
         flow = arcs.join(state.where("out > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
         got = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
         score = F.lit((1 - d) / n + d * sink / n) + F.lit(d) * F.coalesce("got", F.lit(0.0))
-        new = materialize(state.join(got, "id", "left").select("id", score.alias("score"), "out", F.col("score").alias("old")), "ranks")
-        row = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.sum(F.when(F.col("out") == 0, F.col("score"))).alias("sink")).first()
-        state, sink = new.select("id", "score", "out"), row["sink"] or 0.0
-        if row["change"] < options.tolerance:
+        new = materialize(
+            state.join(got, "id", "left").select("id", score.alias("score"), "out", F.col("score").alias("old")), "ranks",
+            change=F.sum(F.abs(F.col("score") - F.col("old"))), sink=F.sum(F.when(F.col("out") == 0, F.col("score"))),
+        )
+        state, sink = new.select("id", "score", "out"), stat(new, "sink") or 0.0
+        if stat(new, "change") < options.tolerance:
             break
     return state.select("id", "score")
 
@@ -147,10 +149,11 @@ def _power(g: Graph, start, update, stop, max_iterations: int) -> DataFrame:
     """``update(got, old)`` of what each node gets from its predecessors, until ``stop(new)``."""
     arcs = materialize(g.arcs().select("src", "dst"), "arcs")
     state = materialize(g.nodes.select("id", start.alias("score")), "scores")
+    gap = F.col("score") - F.col("old")
     for _ in range(max_iterations):
         got = arcs.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("got"))
         both = state.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "old", F.coalesce("got", F.lit(0.0)).alias("got"))
-        new = materialize(update(both), "scores")
+        new = materialize(update(both), "scores", l1=F.sum(F.abs(gap)), l2=F.sqrt(F.sum(gap * gap)))
         done = stop(new)
         state = new.select("id", "score")
         if done:
@@ -159,7 +162,7 @@ def _power(g: Graph, start, update, stop, max_iterations: int) -> DataFrame:
 
 
 def _l1(new: DataFrame) -> float:
-    return new.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("d")).first()["d"] or 0.0
+    return stat(new, "l1") or 0.0
 
 
 def eigenvector(g: Graph, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -169,14 +172,13 @@ def eigenvector(g: Graph, max_iterations: int = 100, tolerance: float = 1e-6) ->
         return g.nodes.select("id", F.lit(1.0).alias("score"))
 
     def update(both):
-        both = materialize(both, "got")
-        norm = both.agg(F.sqrt(F.sum(F.col("got") * F.col("got"))).alias("n")).first()["n"] or 0.0
+        both = materialize(both, "got", norm=F.sqrt(F.sum(F.col("got") * F.col("got"))))
+        norm = stat(both, "norm") or 0.0
         score = F.col("got") / norm if norm > 0 else F.lit(0.0)
         return both.select("id", score.alias("score"), "old")
 
     def stop(new):
-        gap = F.col("score") - F.col("old")
-        return new.agg(F.sqrt(F.sum(gap * gap)).alias("d")).first()["d"] < tolerance
+        return stat(new, "l2") < tolerance
 
     return _power(g, F.lit(1.0 / math.sqrt(n)), update, stop, max_iterations)
 

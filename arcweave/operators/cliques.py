@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arcweave.model import Graph, canonical
 from arcweave.operators import kernels
 from arcweave.operators.local import MAX_EDGES, Local, by_component
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 def max_clique(g: Graph, max_edges: int = MAX_EDGES) -> list[int]:
@@ -91,8 +91,9 @@ def color_parallel(g: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFra
     """
     arcs = materialize(g.arcs().where("src <> dst").select("src", "dst").union(g.arcs().where("src <> dst").select("dst", "src")).distinct(), "arcs")
     state = materialize(g.nodes.select("id", F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("i")).alias("p"), F.lit(None).cast("int").alias("color")), "colors")
+    left = None
     for _ in range(max_rounds):
-        if state.where("color IS NULL").isEmpty():
+        if left == 0 or left is None and state.isEmpty():
             return state.select("id", "color")
         near = arcs.join(state.select(F.col("id").alias("dst"), "p", "color"), "dst").groupBy(F.col("src").alias("id")).agg(
             F.max(F.when(F.col("color").isNull(), F.col("p"))).alias("top"), F.collect_set("color").alias("used")
@@ -100,7 +101,8 @@ def color_parallel(g: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFra
         free = F.expr("element_at(array_except(sequence(1, size(used) + 1), used), 1)")
         both = state.join(near, "id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
         turn = F.col("color").isNull() & (F.col("top").isNull() | (F.col("p") > F.col("top")))
-        state = materialize(both.select("id", "p", F.when(turn, free).otherwise(F.col("color")).alias("color")), "colors")
+        state = materialize(both.select("id", "p", F.when(turn, free).otherwise(F.col("color")).alias("color")), "colors", left=F.count_if(F.col("color").isNull()))
+        left = stat(state, "left")
     raise RuntimeError("colours did not settle")
 
 

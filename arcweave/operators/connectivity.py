@@ -12,7 +12,7 @@ from arcweave.operators.components import component_links
 from arcweave.operators.local import MAX_EDGES, Local, by_component
 from arcweave.operators.transform import induced, transitive_closure
 from arcweave.plans.fixpoint import relax
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 def weakly_connected_components(g: Graph) -> DataFrame:
@@ -59,8 +59,8 @@ def strongly_connected_components(g: Graph, max_rounds: int = 1000) -> DataFrame
         while True:
             keep = left.join(arcs.select(F.col("src").alias("id")), "id", "left_semi").join(arcs.select(F.col("dst").alias("id")), "id", "left_semi")
             keep = materialize(keep, "left")
-            single = materialize(left.join(keep, "id", "left_anti").select("id", F.col("id").alias("component")), "single")
-            if single.isEmpty():
+            single = materialize(left.join(keep, "id", "left_anti").select("id", F.col("id").alias("component")), "single", n=F.count(F.lit(1)))
+            if not stat(single, "n"):
                 break
             done = single if done is None else done.unionByName(single)
             left = keep
@@ -123,8 +123,8 @@ def core_numbers(g: Graph, max_rounds: int = 10_000) -> DataFrame:
         counts = arcs.join(d, "dst").join(s, "src").groupBy(F.col("src").alias("id"), F.least("core", "own").alias("v")).agg(F.count("*").alias("n"))
         reach = F.sum("n").over(Window.partitionBy("id").orderBy(F.col("v").desc()))
         near = counts.select("id", F.least("v", reach).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        new = materialize(state.join(near, "id", "left").select("id", "core", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("new")), "cores")
-        moved = not new.where("new < core").isEmpty()
+        new = materialize(state.join(near, "id", "left").select("id", "core", F.least("core", F.coalesce("h", F.lit(0).cast("long"))).alias("new")), "cores", moved=F.count_if(F.col("new") < F.col("core")))
+        moved = stat(new, "moved")
         state = new.select("id", F.col("new").alias("core"))
         if not moved:
             return state

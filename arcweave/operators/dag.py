@@ -14,7 +14,7 @@ from arcweave.operators.connectivity import reachability_counts
 from arcweave.operators.local import MAX_EDGES, Local
 from arcweave.operators.paths import Path, distances_from
 from arcweave.operators.traversal import levels, topological_generations as generations_of, topological_sort as sort_of
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 class CycleDetected(ValueError):
@@ -209,9 +209,10 @@ def path_counts(dag: Dag, src: int) -> DataFrame:
     """(id, n): how many paths lead from ``src`` to each node, one round per hop of the longest."""
     arcs = materialize(dag.graph.arcs().select("src", "dst"), "arcs")
     front = materialize(dag.graph.nodes.where(F.col("id") == src).select("id", F.lit(1).cast("decimal(38,0)").alias("n")), "counts")
-    total = front
-    while not front.isEmpty():
-        front = materialize(front.join(arcs, front["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum("n").cast("decimal(38,0)").alias("n")), "counts")
+    total, more = front, True
+    while more:
+        front = materialize(front.join(arcs, front["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum("n").cast("decimal(38,0)").alias("n")), "counts", rows=F.count(F.lit(1)))
+        more = stat(front, "rows")
         total = materialize(total.unionByName(front).groupBy("id").agg(F.sum("n").cast("decimal(38,0)").alias("n")), "counts")
     return total
 

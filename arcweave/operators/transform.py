@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.model import Combine, Graph, canonical, combined, dense_ids, last_wins, node_frame
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 
 def transpose(g: Graph) -> Graph:
@@ -184,13 +184,14 @@ def transitive_closure(g: Graph, combine: str = "min", max_rounds: int = 64) ->
     if combine not in ("min", "max"):
         raise ValueError("closure weights are combined by min or max")
     pick = F.min if combine == "min" else F.max
-    held = materialize(g.arcs().groupBy("src", "dst").agg(pick("w").alias("w")), "closure")
-    count = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst", "w").cast("decimal(38,0)"))).first()
+    seen = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("src", "dst", "w").cast("decimal(38,0)"))}
+    count = lambda df: (stat(df, "n"), stat(df, "s"))
+    held = materialize(g.arcs().groupBy("src", "dst").agg(pick("w").alias("w")), "closure", **seen)
     before = count(held)
     for _ in range(max_rounds):
         a, b = held.alias("a"), held.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.w") + F.col("b.w")).alias("w"))
-        held = materialize(held.unionByName(longer).groupBy("src", "dst").agg(pick("w").alias("w")), "closure")
+        held = materialize(held.unionByName(longer).groupBy("src", "dst").agg(pick("w").alias("w")), "closure", **seen)
         after = count(held)
         if after == before:
             return Graph(g.nodes, canonical(held, g.directed).dropDuplicates(["src", "dst"]), g.directed)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arcweave.model import Graph
 from arcweave.operators import kernels
 from arcweave.operators.local import MAX_EDGES, Local
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 CONTINUE, STOP, HALT = "continue", "stop", "halt"
 
@@ -37,8 +37,8 @@ def levels(arcs: DataFrame, seeds: DataFrame, radius: int | None = None) -> Data
     while radius is None or depth < radius:
         depth += 1
         grown = front.join(arcs, front["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = materialize(grown.join(known, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "levels")
-        if front.isEmpty():
+        front = materialize(grown.join(known, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "levels", n=F.count(F.lit(1)))
+        if not stat(front, "n"):
             break
         known = known.unionByName(front)
         if depth % 8 == 0:
@@ -55,20 +55,20 @@ def topological_generations(g: Graph) -> tuple[DataFrame, bool]:
     """((id, generation), acyclic): layers of nodes without predecessors left, by removal rounds."""
     arcs = g.arcs().select("src", "dst")
     need = g.nodes.select("id").join(arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need")), "id", "left")
-    left = materialize(need.select("id", F.coalesce("need", F.lit(0)).alias("need")), "need")
-    done, depth = left.where("need = 0").select("id", F.lit(0).alias("generation")), 0
-    done = materialize(done, "generation")
-    front, left = done, left.where("need > 0")
-    while not front.isEmpty():
+    counts = {"free": F.count_if(F.col("need") == 0), "bound": F.count_if(F.col("need") > 0)}
+    table = materialize(need.select("id", F.coalesce("need", F.lit(0)).alias("need")), "need", **counts)
+    done, depth = table.where("need = 0").select("id", F.lit(0).alias("generation")), 0
+    front, left = done, table.where("need > 0")
+    while stat(table, "free") and stat(table, "bound"):
         depth += 1
         freed = front.join(arcs, front["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-        left = materialize(left.join(freed, "id", "left").select("id", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need")), "need")
-        front = left.where("need = 0").select("id", F.lit(depth).alias("generation"))
-        left = left.where("need > 0")
+        table = materialize(left.join(freed, "id", "left").select("id", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need")), "need", **counts)
+        front = table.where("need = 0").select("id", F.lit(depth).alias("generation"))
+        left = table.where("need > 0")
         done = done.unionByName(front)
         if depth % 8 == 0:
             done = materialize(done, "generation")
-    return done, left.isEmpty()
+    return done, not stat(table, "bound")
 
 
 def is_acyclic(g: Graph) -> bool:
@@ -233,8 +233,8 @@ def random_walks(g: Graph, starts: DataFrame, steps: int, seed: int = 0) -> Data
     out = at
     for i in range(1, steps + 1):
         draw = F.xxhash64("walk", F.lit(i), "dst", F.lit(seed))
-        at = materialize(at.join(arcs, at["id"] == arcs["src"]).groupBy("walk").agg(F.min_by("dst", draw).alias("id")).select("walk", F.lit(i).alias("step"), "id"), "walks")
-        if at.isEmpty():
+        at = materialize(at.join(arcs, at["id"] == arcs["src"]).groupBy("walk").agg(F.min_by("dst", draw).alias("id")).select("walk", F.lit(i).alias("step"), "id"), "walks", n=F.count(F.lit(1)))
+        if not stat(at, "n"):
             break
         out = out.unionByName(at)
     return out

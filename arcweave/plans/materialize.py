@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="arcweave-")
+        made = tempfile.mkdtemp(prefix="arcweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = f"file://{made}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -30,20 +34,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, name: str = "cut", **stats: Column) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result has no lineage beyond its files: a lost executor costs only the
-    tasks it ran, and later plans see true sizes.
+    tasks it ran, and later plans see true sizes.  ``stats`` are aggregates
+    taken while writing, without a job of their own; :func:`stat` gives them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    watch = Observation() if stats else None
+    (df.observe(watch, *[v.alias(k) for k, v in stats.items()]) if watch else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    out._stats = watch.get if watch else {}
     return out
 
 
+def stat(df: DataFrame, name: str):
+    """An aggregate that :func:`materialize` took of ``df``."""
+    return df._stats[name]
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete the files of frames from :func:`materialize` that nothing reads any more."""
     for df in frames:
