@@ -29,6 +29,17 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: Rows whose Python objects exist at a time; Arrow batches are cut to that without copying.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_rows(
     df: DataFrame, schema: str, rows: Callable[[dict[str, list], int], dict[str, list]], raw: tuple[str, ...] = ("text",)
 ) -> DataFrame:
@@ -42,7 +53,7 @@ def map_rows(
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = {k: texts(batch.column(i)) if k in raw else batch.column(i).to_pylist() for i, k in enumerate(names)}
             out = rows(got, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import code_points, map_rows, texts
+from arcweave.llm.common import code_points, map_rows, slices, texts
 from arcweave.llm.files import filesystem
 from arcweave.plans.materialize import materialize, new_path
 
@@ -235,7 +235,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     def work(batches):
         index = None
-        for batch in batches:
+        for batch in slices(batches):
             index = index or Index(folder, shards)
             split = [t.split(b"\n") for t in texts(batch.column(2))]
             owner, where, hashes = [], [], []

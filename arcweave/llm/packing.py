@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arcweave.llm.common import slices
 from arcweave.plans.materialize import materialize
 
 SIZE = 2048
@@ -110,7 +111,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, close: int = 0,
 
     def work(batches):
         encode, end = encoder(tokenizer), array("I", [close]).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             ids = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

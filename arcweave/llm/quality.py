@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import CONTINUATION, SPACE, map_rows, texts
+from arcweave.llm.common import CONTINUATION, SPACE, map_rows, slices, texts
 from arcweave.plans.materialize import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -197,7 +197,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
     at = docs.columns.index("text")
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             whole = batch.column(0)
             out = list(zip(*map(counts, texts(whole.field(at))), strict=True)) or [()] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays([whole, *(pa.array(x, type=pa.int64()) for x in out)], names=["doc", *_COUNTS])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcweave.llm.common import map_rows, texts
+from arcweave.llm.common import map_rows, slices, texts
 from arcweave.operators.components import component_links
 from arcweave.plans.materialize import materialize
 
@@ -162,7 +162,7 @@ def keep_one(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     at = docs.columns.index("text")
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             whole = batch.column(0)
             fps = np.array([fingerprint(t, width, seed) for t in texts(whole.field(at))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([whole, pa.array(fps.view(np.int64))], names=["doc", "fp"])

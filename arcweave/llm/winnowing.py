@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import slices
+
 K, W = 24, 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -112,7 +114,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """(doc_id, hashes, positions) for every row of ``docs`` (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [winnow(t or "", k, w) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -201,7 +203,7 @@ def compare_with_edits(docs: DataFrame, k: int = K, w: int = W, parts: int | Non
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before: part, doc_id, text, chosen, set
         out: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for part, doc_id, text, extra in zip(*cols, strict=True):
                 text = text or ""
