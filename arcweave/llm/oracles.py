@@ -118,9 +118,24 @@ SELECT r.doc_id, r.domain, r.lang, r.source, r.n_tokens, CAST(r.epoch AS INT) AS
 FROM s r JOIN b3 b ON {same} WHERE r.after <= floor(b.budget)"""
 
 
+def _warc_sql() -> str:
+    """Base32 by groups: five hex digits are four characters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = []
+    for group in range(8):
+        value = f"CAST('0x' || substr(h, {5 * group + 1}, 5) AS INTEGER)"
+        chars += [f"substr('{letters}', (({value}) >> {shift} & 31) + 1, 1)" for shift in (15, 10, 5, 0)]
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {" || ".join(chars)} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_url_filter": _url_sql(),
+    "op7_warc": _warc_sql(),
     "op8_line_dedup": _line_sql(),
     "op10_mix": _mix_sql(),
 }
