@@ -9,8 +9,11 @@
    largest doc_id.  Keys too rare to decide anything are left out: a stranger
    and a rare key both mean "keep".
 3. Documents are read again and probe the arrays, shard by shard for a batch
-   of documents; lines are never joined or shuffled as text.  A worker keeps a
-   bounded number of bytes of shards and reads others from the shared folder.
+   of documents; lines are never joined or shuffled as text.  While all shards
+   fit in a worker's share of memory, documents probe where they are.  Beyond
+   that their line hashes travel to the shards, salted so that one line may be
+   in any number of documents, each task streams them past one shard at a time,
+   and only the places of dropped lines come back.  Both ways give the same rows.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts
 as the smallest; rows that repeat a doc_id count as documents of their own,
@@ -34,8 +37,10 @@ from arcweave.llm.files import filesystem
 from arcweave.plans.materialize import materialize, new_path
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys of a shard, about, and bytes of shards that a worker keeps.
-SHARD_KEYS, CACHE_BYTES = 500_000, 128 << 20
+#: Keys of a shard, about; bytes of shards that a worker keeps; bytes that a key takes, about.
+SHARD_KEYS, CACHE_BYTES, KEY_BYTES = 500_000, 128 << 20, 28
+#: Tasks over which the hashes that visit one shard are spread.
+SALTS = 16
 NULL_ID = -(1 << 63)
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -167,11 +172,12 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def build_index(counts: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
-    """Write the shards of keys that ``min_docs`` documents hold; (folder, number of shards)."""
+def build_index(counts: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[str, int, int]:
+    """Write the shards of keys that ``min_docs`` documents hold; (folder, number of shards, number of keys)."""
     spark = counts.sparkSession
     kept = materialize(counts.where(F.col("n") >= min_docs), "lines")
-    shards = max(1, -(-kept.count() // shard_keys))
+    keys = kept.count()
+    shards = max(1, -(-keys // shard_keys))
     folder = new_path(spark, "line-index")
 
     def build(key, got):
@@ -184,7 +190,7 @@ def build_index(counts: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = S
         .groupBy("shard").applyInArrow(build, "data binary, shard long")
         .write.partitionBy("shard").parquet(folder)
     )
-    return folder, shards
+    return folder, shards, keys
 
 
 class Index:
@@ -227,26 +233,81 @@ class Index:
         return counts, last
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: list[str] | None = None) -> DataFrame:
+def _long_lines(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
+    """(place, hash) of the lines whose keys are long enough."""
+    out = []
+    for j, line in enumerate(text.split(b"\n")):
+        if len(line) >= min_chars:
+            key = line_key(line)
+            if len(key) >= min_chars and code_points(key) >= min_chars:
+                out.append((j, _hash(key).to_bytes(16, "little")))
+    return out
+
+
+def _visit(carried: DataFrame, folder: str, shards: int, min_chars: int, min_docs: int) -> DataFrame:
+    """As probing in place, for an index of any size: line hashes go to the shards, places of dropped lines come back.
+
+    Rows that repeat a doc_id and a text share their fate, so both name a row.
+    """
+    named = carried.select("doc", "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
+        {"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text"), "id": F.coalesce("doc_id", F.lit(NULL_ID))}
+    )
+
+    def hashes(got, n):
+        rows = [(i, t, u, j, h) for i, t, u, x in zip(got["id"], got["t"], got["u"], got["text"], strict=True) for j, h in _long_lines(x, min_chars)]
+        ids, t, u, at, h = zip(*rows, strict=True) if rows else ((),) * 5
+        raw = np.frombuffer(b"".join(h), dtype="<i8").reshape(-1, 2)
+        return {"id": ids, "t": t, "u": u, "at": at, "a": raw[:, 0], "b": raw[:, 1]}
+
+    lines = map_rows(named.select("id", "t", "u", "text"), "id long, t long, u long, at int, a long, b long", hashes).distinct()
+    shard = F.pmod("a", F.lit(shards))
+    tasks = max(1, min(shards * SALTS, int(carried.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = lines.repartition(tasks, shard, F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions(shard)
+
+    def probe(batches):
+        index = Index(folder, shards, limit=1)  # hashes come by shard: one at a time
+        for batch in batches:
+            ids, a, b = (np.asarray(batch.column(i)) for i in (0, 4, 5))
+            counts, last = index.probe(a.view(np.uint64), b.view(np.uint64))
+            gone = pa.array((counts >= min_docs) & (ids != last))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(gone) for i in range(4)], names=["id", "t", "u", "at"])
+
+    gone = dealt.mapInArrow(probe, "id long, t long, u long, at int").groupBy("id", "t", "u").agg(F.collect_set("at").alias("gone"))
+    split = F.split("text", "\n")
+    dropped = F.coalesce("gone", F.array().cast("array<int>"))
+    return (
+        named.join(gone, ["id", "t", "u"], "left")
+        .withColumn("lines", split).withColumn("gone", dropped)
+        .withColumn("kept", F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)))
+        .select(
+            "doc", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"),
+            (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        )
+    )
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: list[str] | None = None, cache_bytes: int = CACHE_BYTES, shard_keys: int = SHARD_KEYS
+) -> DataFrame:
     """doc (a struct of the columns ``keep``, default doc_id), text without frequent lines, n_lines, n_dropped."""
-    folder, shards = build_index(line_counts(docs, min_chars), min_docs)
+    folder, shards, keys = build_index(line_counts(docs, min_chars), min_docs, shard_keys)
     carried = docs.select(F.struct(*(keep or ["doc_id"])).alias("doc"), "doc_id", "text")
+    if keys * KEY_BYTES > cache_bytes:
+        return _visit(carried, folder, shards, min_chars, min_docs)
     schema = f"doc {carried.schema['doc'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
 
     def work(batches):
         index = None
         for batch in slices(batches):
             index = index or Index(folder, shards)
-            split = [t.split(b"\n") for t in texts(batch.column(2))]
+            whole = texts(batch.column(2))
+            split = [t.split(b"\n") for t in whole]
             owner, where, hashes = [], [], []
-            for i, lines in enumerate(split):
-                for j, line in enumerate(lines):
-                    if len(line) >= min_chars:
-                        key = line_key(line)
-                        if len(key) >= min_chars and code_points(key) >= min_chars:
-                            owner.append(i)
-                            where.append(j)
-                            hashes.append(_hash(key).to_bytes(16, "little"))
+            for i, text in enumerate(whole):
+                for j, h in _long_lines(text, min_chars):
+                    owner.append(i)
+                    where.append(j)
+                    hashes.append(h)
             dropped: dict[int, set[int]] = {}
             if hashes:
                 raw = np.frombuffer(b"".join(hashes), dtype="<u8").reshape(-1, 2)

@@ -459,8 +459,10 @@ def test_lines(spark, sf):
     line = "The very same line of at least forty characters, É!"
     rows = ODD + [(300 + i, f"head {i}\n  {line.upper() if i % 2 else line}\t\n{'y' * 39}\n{line}") for i in range(9)] + [(305, line)]
     df = docs_of(spark, rows).unionByName(real_docs(spark, sf))
-    got = Counter(tuple(r) for r in linededup.digest_rows(linededup.dedup_lines(df)).collect())
-    assert got == brute_lines(pairs(df))
+    want = brute_lines(pairs(df))
+    for how in ({}, {"cache_bytes": 0}, {"cache_bytes": 0, "shard_keys": 2}):  # in place, and by visits to the shards
+        assert Counter(tuple(r) for r in linededup.digest_rows(linededup.dedup_lines(df, **how)).collect()) == want
+    assert linededup.dedup_lines(docs_of(spark, []), cache_bytes=-1).count() == 0
     kept = linededup.drop_lines(docs_of(spark, rows, extra=True))
     assert kept.columns == docs_of(spark, [], extra=True).columns
     assert all(r["n_chars"] == len(r["text"]) for r in kept.collect())
@@ -486,8 +488,8 @@ def test_perfect_hash():
 def test_sharded_lines(spark):
     rows = [(i, "\n".join(f"shared line number {j} with enough characters to count" for j in range(i % 7, 40))) for i in range(60)]
     df = docs_of(spark, rows)
-    folder, shards = linededup.build_index(linededup.line_counts(df), shard_keys=5)
-    assert shards == 8
+    folder, shards, keys = linededup.build_index(linededup.line_counts(df), shard_keys=5)
+    assert (shards, keys) == (8, 40)
     index = linededup.Index(folder, shards, limit=1)
     keys = [linededup._hash(f"shared line number {j} with enough characters to count".encode()).to_bytes(16, "little") for j in range(40)]
     raw = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
