@@ -4,10 +4,12 @@ Labelled page outcomes (bad or not) are counted per host.  A host's rate is
 shrunk towards its registered domain, the domain's towards its public suffix,
 the suffix's towards the whole: at each level the parent's posterior mean is
 the mean of a beta prior whose strength comes from the moments of the
-beta-binomial over that level's nodes.  A host is blocked where the lower
+beta-binomial over that level's labelled nodes.  A host without labels is a
+node with no pages: it is judged by the prior of its nearest labelled domain,
+suffix or, failing both, the whole.  A host is blocked where the lower
 posterior bound (mean less ``z`` standard deviations) exceeds ``threshold``.
 
-Scale: pages are only counted (partial aggregates) and joined once with the
+Scale: pages are only counted by host (partial aggregates) and joined once with the
 host table, which is a written table, so adaptive execution can split a hot
 host's rows.  What reaches the driver are three rows of moments.
 
@@ -71,7 +73,7 @@ def suffix(host: Column) -> Column:
 
 def _strength(nodes: DataFrame) -> float:
     """Strength of the beta prior of nodes (n, k, m): k bad of n, parent's mean m."""
-    row = nodes.where("m > 0 AND m < 1").agg(
+    row = nodes.where("n > 0 AND m > 0 AND m < 1").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), F.lit(2)) / (F.col("m") * (1 - F.col("m")))).alias("s"),
         F.count("*").alias("nodes"),
         F.sum("n").alias("pages"),
@@ -84,13 +86,18 @@ def _strength(nodes: DataFrame) -> float:
     return float(min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / rho - 1)))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, lower): lower posterior bound inputs of each host of ``outcomes`` (host, bad).
+def host_reputation(outcomes: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
+    """(host, a, b): beta posterior of each host of ``outcomes`` (host, bad) and of ``unseen`` (host).
 
-    Returns host, alpha and beta of the posterior.
+    Hosts that only ``unseen`` has count as no pages, none bad: strengths and
+    means of the levels stay as they are, and a and b are those of the prior.
     """
+    counted = outcomes.where("bad IS NOT NULL").select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("k"))
+    if unseen is not None:
+        none = F.lit(0).cast("long")
+        counted = counted.unionByName(unseen.select("host", none.alias("n"), none.alias("k")))
     hosts = materialize(
-        outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
+        counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "k"),
         "hosts",
     )
@@ -126,9 +133,10 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=None, z: float = 1.0, threshold: float = 0.5) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url); ``outcomes``: (host, bad)."""
-    blocked = materialize(host_reputation(outcomes).where(lower_bound(z) > threshold).select("host", F.lit("block").alias("learned")), "blocked")
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
+    reputation = host_reputation(outcomes, judged.select("host"))
+    blocked = materialize(reputation.where(lower_bound(z) > threshold).select("host", F.lit("block").alias("learned")), "blocked")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return (
         judged.join(blocked, "host", "left")

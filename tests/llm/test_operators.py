@@ -120,6 +120,24 @@ def test_reputation_shrinks(spark):
     assert mean["new.x.com"] > mean["lone.z.net"] > mean["other.z.net"]
 
 
+def test_unlabelled_hosts_take_the_prior(spark):
+    rows = [(f"s{i}.bad.com", 1) for i in range(20) for _ in range(30)] + [(f"s{i}.good.com", 0) for i in range(20) for _ in range(60)]
+    rows += [(f"w.d{i}.top", 1) for i in range(20) for _ in range(30)]
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    hosts = {
+        1: ("s1.bad.com", "block"), 2: ("new.bad.com", "block"), 3: ("new.good.com", "allow"), 4: ("fresh.top", "block"), 5: ("a.fresh.top", "block"),
+        6: ("elsewhere.com", "allow"), 7: ("no.where", "allow"), 8: ("s1.good.com", "allow"),
+    }
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, (h, _) in hosts.items()], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filters.filter_urls(pages, outcomes).collect()}
+    assert got == hosts
+    # labelled hosts have the same posterior with and without strangers beside them
+    alone = {r["host"]: (r["a"], r["b"]) for r in url_filters.host_reputation(outcomes).collect()}
+    beside = {r["host"]: (r["a"], r["b"]) for r in url_filters.host_reputation(outcomes, spark.createDataFrame([(h,) for h, _ in hosts.values()], "host string")).collect()}
+    assert set(beside) == set(alone) | {h for h, _ in hosts.values()}
+    assert all(beside[h] == pytest.approx(alone[h]) for h in alone)
+
+
 # ---------------------------------------------------------------- 3 SimHash
 
 
