@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from arcweave.model import Graph
 from arcweave.operators import kernels
 from arcweave.operators.components import component_links
 from arcweave.operators.local import MAX_EDGES, Local, by_component
+from arcweave.operators.transform import TooLarge
 from arcweave.plans.materialize import materialize
 
 
@@ -27,6 +29,36 @@ class MstResult:
         return len(self.edges)
 
 
+@dataclass(frozen=True)
+class ForestResult:
+    """A forest as the DataFrame ``frame`` (src, dst, w); count and weight are aggregates of all its rows."""
+
+    frame: DataFrame
+    algorithm: str
+    max_edges: int = MAX_EDGES
+    root: int | None = None
+
+    @cached_property
+    def _sums(self):
+        return self.frame.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+
+    @property
+    def edge_count(self) -> int:
+        return self._sums["n"]
+
+    @property
+    def total_weight(self):
+        return self._sums["w"] if self.edge_count else 0
+
+    @cached_property
+    def edges(self) -> list[tuple]:
+        """The edges on the driver, ascending; raises :class:`TooLarge` where they are more than ``max_edges``."""
+        rows = self.frame.limit(self.max_edges + 1).collect()
+        if len(rows) > self.max_edges:
+            raise TooLarge(f"a forest of more than {self.max_edges} edges is not listed on the driver")
+        return sorted((r["src"], r["dst"], r["w"]) for r in rows)
+
+
 class NoTree(ValueError):
     """There is no spanning tree of the kind asked for."""
 
@@ -63,10 +95,9 @@ def spanning_forest(g: Graph, max_rounds: int = 64) -> DataFrame:
     return tree if tree is not None else g.edges.where("false").select("src", "dst", "w")
 
 
-def boruvka(g: Graph) -> MstResult:
-    """The distributed forest, collected: at most one edge for each node, behind the usual bound."""
-    rows = spanning_forest(g).limit(MAX_EDGES + 1).collect()
-    return _result(sorted((r["src"], r["dst"], r["w"]) for r in rows), "boruvka")
+def boruvka(g: Graph, max_edges: int = MAX_EDGES) -> ForestResult:
+    """The distributed forest; only ``edges``, its list, is bound by ``max_edges``."""
+    return ForestResult(spanning_forest(g), "boruvka", max_edges)
 
 
 def kruskal(g: Graph, max_edges: int = MAX_EDGES) -> MstResult:

@@ -8,6 +8,7 @@ from arcweave.model import Graph
 from arcweave.operators import centrality, cliques, connectivity, dag, flow, health, matching, paths, planarity, spanning, structure, traversal
 from arcweave.operators import approximate, kernels
 from arcweave.operators.local import Local
+from arcweave.operators.transform import TooLarge
 
 DELIVERY = [(0, 1, 4), (0, 2, 2), (1, 3, 5), (2, 1, 1), (2, 4, 10), (3, 5, 2), (4, 5, 3)]
 FRIENDS = [(0, 1, 1), (0, 2, 1), (1, 2, 1), (1, 3, 1), (3, 4, 1)]
@@ -157,6 +158,16 @@ def test_spanning(spark):
     assert sorted(rows(spanning.kruskal_by_component(square))) == [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 3.0)]
 
 
+def test_boruvka_beyond_the_driver_bound(spark):
+    r = spanning.boruvka(und([(i, i + 1, i + 1) for i in range(6)]), max_edges=2)
+    assert (r.edge_count, r.total_weight, r.frame.count()) == (6, 21, 6)
+    with pytest.raises(TooLarge):
+        r.edges
+    whole = spanning.boruvka(und([(0, 1, 1), (1, 2, 2), (0, 2, 3)]), max_edges=2)
+    assert whole.edges == [(0, 1, 1), (1, 2, 2)]
+    assert (spanning.boruvka(Graph.empty(False)).edges, spanning.boruvka(Graph.empty(False)).total_weight) == ([], 0)
+
+
 def test_arborescence_brute():
     from itertools import product
 
