@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arcweave.model import Graph
-from arcweave.operators import kernels
+from arcweave.operators import blocks, kernels
 from arcweave.operators.components import component_links
 from arcweave.operators.local import MAX_EDGES, Local, by_component
 from arcweave.operators.transform import induced, transitive_closure
 from arcweave.plans.fixpoint import relax
 from arcweave.plans.materialize import materialize, stat
 
+#: Edges from which a component's bridges are found by rounds instead of in one task.
+KERNEL_EDGES = 100_000
+
 
 def weakly_connected_components(g: Graph) -> DataFrame:
     """(id, component): the smallest node reachable ignoring direction; distributed star rounds."""
@@ -92,8 +95,12 @@ def kosaraju(g: Graph, max_edges: int = MAX_EDGES) -> list[list[int]]:
     return strong_components_lists(g, max_edges)[::-1]
 
 
-def analyze(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(bridges (u, v), articulation points (id)) of an undirected graph, one task per component."""
+def analyze(g: Graph, max_edges: int = KERNEL_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(bridges (u, v), articulation points (id)) of an undirected graph.
+
+    Components of fewer than ``max_edges`` edges take a task each; larger ones
+    go by relational rounds, whatever their size.
+    """
     if g.directed:
         raise ValueError("bridges are those of undirected graphs")
 
@@ -102,8 +109,23 @@ def analyze(g: Graph) -> tuple[DataFrame, DataFrame]:
         yield from (("bridge", u, v) for u, v in bridges)
         yield from (("cut", n, None) for n in cuts)
 
-    found = materialize(by_component(g, kernel, "kind string, u long, v long"), "bridges")
-    return found.where("kind = 'bridge'").select("u", "v"), found.where("kind = 'cut'").select(F.col("u").alias("id"))
+    parts = materialize(weakly_connected_components(g), "components")
+    placed = g.edges.join(parts.withColumnRenamed("id", "src"), "src")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+    large = materialize(sizes.where(F.col("n") >= max_edges).select("component"), "large", n=F.count(F.lit(1)))
+    small = g
+    if stat(large, "n"):
+        small = Graph(
+            g.nodes.join(parts.join(large, "component", "left_anti").select("id"), "id", "left_semi"),
+            placed.join(large, "component", "left_anti").select("src", "dst", "w"), False,
+        )
+        parts = parts.join(large, "component", "left_anti").select("id", "component")
+    found = materialize(by_component(small, kernel, "kind string, u long, v long", max_edges, parts), "bridges")
+    bridges, cuts = found.where("kind = 'bridge'").select("u", "v"), found.where("kind = 'cut'").select(F.col("u").alias("id"))
+    if stat(large, "n"):
+        more = blocks.bridges_and_cuts(Graph(g.nodes, placed.join(large, "component", "left_semi").select("src", "dst", "w"), False))
+        bridges, cuts = bridges.unionByName(more[0]), cuts.unionByName(more[1])
+    return bridges, cuts
 
 
 def core_numbers(g: Graph, max_rounds: int = 10_000) -> DataFrame:

@@ -84,18 +84,19 @@ class Local:
         return out
 
 
-def by_component(g: Graph, kernel: Callable[[Local], Iterable[tuple]], schema: str, max_edges: int = MAX_EDGES) -> DataFrame:
+def by_component(g: Graph, kernel: Callable[[Local], Iterable[tuple]], schema: str, max_edges: int = MAX_EDGES, parts: DataFrame | None = None) -> DataFrame:
     """The rows that ``kernel`` gives for each weakly connected component, in one task each.
 
     Components are found by distributed rounds; one with more than ``max_edges``
-    edges raises.  Isolated nodes are components of one node.
+    edges raises.  Isolated nodes are components of one node.  ``parts`` (id,
+    component) are the components where a caller knows them.
     """
     from arcweave.operators.connectivity import weakly_connected_components
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     directed = g.directed
-    parts = weakly_connected_components(g)
+    parts = weakly_connected_components(g) if parts is None else parts
     edges = g.edges.join(parts.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", F.col("w").cast("double").alias("w"), F.lit(True).alias("edge"))
     nodes = parts.select("component", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(False).alias("edge"))
     arrow = to_arrow_schema(_parse_datatype_string(schema))

@@ -168,6 +168,20 @@ def test_boruvka_beyond_the_driver_bound(spark):
     assert (spanning.boruvka(Graph.empty(False)).edges, spanning.boruvka(Graph.empty(False)).total_weight) == ([], 0)
 
 
+def test_bridges_and_cuts_by_rounds(spark):
+    """Against the kernel: components of 6 edges and more by rounds, the others in a task each."""
+    r = random.Random(11)
+    edges = [(9000 + i, 9001 + i, 1) for i in range(40)] + [(9500, 9600 + i, 1) for i in range(30)]
+    for c in range(40):
+        n = r.randrange(2, 9)
+        edges += [(100 * c + a, 100 * c + b, 1) for a, b in {tuple(sorted((r.randrange(n), r.randrange(n)))) for _ in range(r.randrange(1, 13))}]
+    want = kernels.bridges_and_cuts(Local({x for e in edges for x in e[:2]}, edges, False))
+    bridges, cuts = connectivity.analyze(und(edges), max_edges=6)
+    assert (rows(bridges), [x for (x,) in rows(cuts)]) == want
+    none = connectivity.analyze(und([(1, 1, 1)]))
+    assert rows(none[0]) == rows(none[1]) == []
+
+
 def test_arborescence_brute():
     from itertools import product
 
