@@ -4,13 +4,14 @@
    pieces of ``size`` tokens.
 2. The histogram of piece lengths has at most ``size`` bars, whatever the
    corpus.  On the driver, patterns of one to three lengths that fill a
-   sequence exactly are enumerated, non-negative least squares fits how often
-   each repeats, counts are rounded down, and what is left is packed best-fit,
-   longest first, over the histogram.  The plan says, for each length, which
-   ranks go to which sequences and where.
+   sequence exactly are enumerated, non-negative least squares by active sets
+   fits how often each repeats, counts are rounded by largest remainder, and
+   what is left is packed best-fit, longest first, over the histogram.  The
+   plan says, for each length, which ranks go to which sequences and where.
 3. Every piece finds its rank among those of its length and looks its place up
-   in the plan.  Ranks are counted in salted groups, so a length that a third
-   of all pieces share is dealt over many tasks.
+   in the plan.  Ranks are counted in salted groups, as many as a length's own
+   count asks for, so a length that a third of all pieces share is dealt over
+   many tasks and a rare one makes no groups.
 
 Defined results: a null or empty text is the closing id alone; a null doc_id
 passes through; repeated rows are packed each; no rows give no sequences.
@@ -22,6 +23,8 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -36,8 +39,8 @@ from arcweave.plans.materialize import materialize
 SIZE = 2048
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
-#: Pieces of one length that are ranked in one group, about.
-GROUP = 50_000
+#: Pieces of one length that are ranked in one group, about: a 4096th of all, within these bounds.
+LEAST_GROUP, GROUP = 1000, 50_000
 #: Texts of these characters are split at white space word by word; others go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -55,8 +58,8 @@ class Encoder:
 
     The vocabulary lower-cases, never joins across white space and ends words
     with a mark, so plain texts are encoded word by word from a bounded memory
-    of words; merges run over bytes, the mark being 0xFF, which UTF-8 never
-    holds.  Any other text is given to the tokenizer itself.
+    of words; merges run over bytes, the mark being the zero byte, which plain
+    texts never hold.  Any other text is given to the tokenizer itself.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -71,18 +74,17 @@ class Encoder:
         ranks = {}
         for token, i in model["vocab"].items():
             if not token.startswith("<|"):
-                core, end = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
+                core, end = (token[:-4], b"\0") if token.endswith("</w>") else (token, b"")
                 ranks[bytes(of[c] for c in core) + end] = i
-        self._merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        merge = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._whole = Tokenizer.from_file(path)
-        merge = self._merge
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 if word.isalpha():
-                    ids = array("I", merge(word.encode() + b"\xff")).tobytes()
+                    ids = array("I", merge(word + "\0")).tobytes()
                 else:
-                    ids = b"".join(array("I", merge(p.encode() + b"\xff")).tobytes() for p in _PARTS.findall(word))
+                    ids = b"".join(array("I", merge(p + "\0")).tobytes() for p in _PARTS.findall(word))
                 if len(self) < remembered:
                     self[word] = ids
                 return ids
@@ -149,50 +151,101 @@ def patterns(present: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(rows) if rows else np.empty((0, 3), dtype=int)
 
 
-def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 of patterns that minimise |A x - h|, by accelerated projected gradients."""
-    if not len(found):
-        return np.zeros(0)
-    size = len(histogram) - 1
-    h = histogram.astype(float)
-    h[0] = 0
-
-    def made(x):
-        y = sum(np.bincount(found[:, i], weights=x, minlength=size + 1) for i in range(3))
-        y[0] = 0
-        return y
-
-    def back(r):
-        return sum(r[found[:, i]] for i in range(3))
-
-    v = np.ones(len(found))
-    for _ in range(20):  # the largest eigenvalue sets the step
-        v /= np.linalg.norm(v)
-        v = back(made(v))
-    step = 1 / (1.05 * np.linalg.norm(v))
-    x = y = np.zeros(len(found))
-    t = 1.0
-    for _ in range(rounds):
-        r = made(y) - h
-        r[0] = 0
-        new = np.maximum(0, y - step * back(r))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
-    return x
+#: Patterns looked at when new ones enter the fit, those of the steepest descent.
+PRICED = 20_000
+
 
+def fit_counts(found: np.ndarray, histogram: np.ndarray, rounds: int = 60, gain: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and repeat counts x > 0 of the patterns that minimise |A x - h| over x >= 0, by active sets.
 
-#: Shares of the fitted counts that plans keep: patterns that use up short pieces can cost more than they fill.
-KEEPS = (1.0, 0.75, 0.5, 0.25, 0.1)
+    Patterns of the steepest descent that share no length enter together; the
+    least squares of all that are in are solved exactly, and patterns leave
+    while one of them would be negative.  A pattern enters only where it falls
+    out of the others' span, so at most as many as there are lengths stay: the
+    counts are few and large enough to be rounded.  The fit ends where no
+    pattern descends, where the misfit is below what rounding adds anyway, or
+    where two rounds bring less than ``gain``.
+    """
+    size = len(histogram) - 1
+    rows = np.flatnonzero(histogram[1:]) + 1
+    at = np.zeros(size + 1, dtype=int)
+    at[rows] = np.arange(len(rows))
+    h = np.zeros(size + 1)
+    h[rows] = histogram[rows]
+    noise = 0.5 * np.sqrt(len(rows))
+
+    def solve(used):
+        a = np.zeros((len(rows), len(used)), dtype=np.float32)  # small whole numbers are exact
+        for column in found[used].T:
+            held = np.flatnonzero(column)
+            np.add.at(a, (at[column[held]], held), 1)
+        normal = (a.T @ a).astype(float)
+        normal[np.diag_indices_from(normal)] += 1e-8
+        x = np.linalg.solve(normal, a.T @ h[rows])
+        left = np.zeros(size + 1)
+        left[rows] = h[rows] - a @ x
+        return x, left
+
+    used, x, left = np.zeros(0, dtype=int), np.zeros(0), h
+    best = (np.linalg.norm(h), used, x)
+    stale = 0
+    for _ in range(rounds):
+        slope = left[found].sum(axis=1)
+        slope[used] = 0
+        top = slope.max(initial=0.0)
+        if top <= 1e-9 * h.max(initial=0.0) or best[0] <= noise or stale == 2:
+            break
+        steep = np.flatnonzero(slope > 0.05 * top)
+        if len(steep) > PRICED:
+            steep = steep[np.argpartition(-slope[steep], PRICED)[:PRICED]]
+        steep = steep[np.argsort(-slope[steep], kind="stable")]
+        entering = []
+        while len(steep):
+            entering.append(steep[0])
+            steep = steep[~np.isin(found[steep], found[steep[0]][found[steep[0]] > 0]).any(axis=1)]
+        used = np.concatenate((used, np.array(entering)))
+        x, left = solve(used)
+        while (x <= 0).any():
+            used = used[x > 0]
+            x, left = solve(used)
+        misfit = np.linalg.norm(left)
+        stale = 0 if misfit < (1 - gain) * best[0] else stale + 1
+        if misfit < best[0]:
+            best = (misfit, used, x)
+    return best[1], best[2]
 
 
 def fit(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, repeat counts) of a length histogram."""
+    """(patterns, repeat counts) of a length histogram; full pieces are patterns of their own."""
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
-    left[0] = 0
+    left[0] = left[size] = 0
     found = patterns(np.flatnonzero(left), size)
-    return found, fit_counts(found, left)
+    used, x = fit_counts(found, left)
+    return found[used], x
+
+
+def whole_counts(found: np.ndarray, x: np.ndarray, histogram: np.ndarray, remainders: bool = True) -> np.ndarray:
+    """Counts rounded down, then up by largest remainder, as far as the histogram holds the pieces."""
+    left = histogram.astype(np.int64).copy()
+    out = np.zeros(len(x), dtype=np.int64)
+    needs = [Counter(int(v) for v in row if v) for row in found]
+
+    def take(i: int, n: int) -> None:
+        n = min(n, *(int(left[v]) // k for v, k in needs[i].items()))
+        if n > 0:
+            out[i] += n
+            for v, k in needs[i].items():
+                left[v] -= n * k
+
+    down = np.floor(x + 1e-9).astype(np.int64)
+    for i in np.argsort(-x, kind="stable"):
+        take(i, int(down[i]))
+    if remainders:
+        for i in np.argsort(down - x, kind="stable"):
+            if x[i] > down[i]:
+                take(i, 1)
+    return out
 
 
 class Plan:
@@ -202,28 +255,23 @@ class Plan:
     ``sequence + i // copies``, at ``offset + (i % copies) * length``.
     """
 
-    def __init__(self, histogram: np.ndarray, keep: float = 1.0, fitted: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, histogram: np.ndarray, found: np.ndarray | None = None, counts: np.ndarray | None = None):
         size = len(histogram) - 1
         left = histogram.astype(np.int64).copy()
         left[0] = 0
         self._used = np.zeros(size + 1, dtype=np.int64)
         self._runs: list[tuple[int, int, int, int, int, int]] = []
-        self.sequences = 0
-        found, x = fitted or fit(left)
-        for i in np.argsort(-x, kind="stable"):
-            n = int(np.floor(keep * x[i] + 1e-9))
-            if n < 1:
-                break
-            lengths = [int(v) for v in found[i] if v]
-            n = min(n, *(int(left[v]) // lengths.count(v) for v in set(lengths)))
+        self.sequences = self.patterned = 0
+        for row, n in zip(found if found is not None else (), counts if counts is not None else (), strict=True):
             if n < 1:
                 continue
             offset = 0
-            for v in lengths:
-                self._take(v, n, 1, self.sequences, offset)
+            for v in (int(v) for v in row if v):
+                self._take(v, int(n), 1, self.sequences, offset)
                 left[v] -= n
                 offset += v
-            self.sequences += n
+                self.patterned += int(n)
+            self.sequences += int(n)
         self._best_fit(left, size)
         runs = np.array(sorted(self._runs), dtype=np.int64).reshape(-1, 6)
         self.runs = runs
@@ -231,9 +279,14 @@ class Plan:
 
     @classmethod
     def best(cls, histogram: np.ndarray) -> Plan:
-        """The plan with fewest sequences of those that keep some of the fitted counts and leave the rest to best fit."""
-        fitted = fit(histogram)
-        return min((cls(histogram, keep, fitted) for keep in KEEPS), key=lambda p: p.sequences)
+        """The plan of the fitted patterns.
+
+        Rounding up takes more pieces by patterns than rounding down; where
+        that, or any pattern at all, would cost a sequence, it is not done.
+        """
+        found, x = fit(histogram)
+        tried = [whole_counts(found, x, histogram), whole_counts(found, x, histogram, remainders=False), np.zeros(len(x), dtype=np.int64)]
+        return min((cls(histogram, found, n) for n in tried), key=lambda p: p.sequences)
 
     def _take(self, length: int, n: int, copies: int, sequence: int, offset: int) -> None:
         self._runs.append((length, int(self._used[length]), n, copies, sequence, offset))
@@ -242,8 +295,6 @@ class Plan:
     def _best_fit(self, left: np.ndarray, size: int) -> None:
         groups: dict[int, list[tuple[int, int]]] = {}  # by room: (first sequence, how many alike)
         rooms: list[int] = []
-        from bisect import bisect_left, insort
-
         def put(room: int, first: int, n: int) -> None:
             if room and n:
                 if not groups.setdefault(room, []):
@@ -283,10 +334,12 @@ class Plan:
         return run[:, 4] + i // run[:, 3], run[:, 5] + i % run[:, 3] * length
 
 
-def ranked(pieces: DataFrame, total: int) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: np.ndarray) -> DataFrame:
     """``pieces`` with their rank (from 0) among those of their length."""
-    salts = max(1, -(-total // GROUP))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    group = max(LEAST_GROUP, min(GROUP, int(histogram.sum()) // 4096))
+    dealt = [(v, -(-int(n) // group)) for v, n in enumerate(histogram) if n]
+    salts = F.broadcast(pieces.sparkSession.createDataFrame(dealt, "length long, salts int"))  # at most ``size`` rows
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts"))).drop("salts")
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     before = counts.select(
         "length", "salt",
@@ -317,7 +370,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             sequence, offset = plan.place(length, rank)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=names)
 
-    return ranked(pieces, int(histogram.sum())).select(*names[:5], "rank").mapInArrow(work, schema)
+    return ranked(pieces, histogram).select(*names[:5], "rank").mapInArrow(work, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, close: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -403,6 +404,42 @@ def test_plan_is_tight():
             assert used <= first_fit() * 1.02 + 3
 
 
+def test_fit_is_least_squares():
+    """The active sets against plain projected gradients over all patterns."""
+    r = np.random.default_rng(4)
+    for size in (12, 40):
+        for _ in range(6):
+            h = np.zeros(size + 1, dtype=np.int64)
+            h[1:size] = r.integers(0, 400, size - 1) * (r.random(size - 1) < 0.7)
+            found = packing.patterns(np.flatnonzero(h), size)
+            a = np.zeros((size + 1, len(found)))
+            for j, row in enumerate(found):
+                for v in row[row > 0]:
+                    a[v, j] += 1
+            y = np.zeros(len(found))
+            step = 1 / max(1, np.linalg.norm(a, 2) ** 2)
+            for _ in range(20_000):
+                y = np.maximum(0, y - step * (a.T @ (a @ y - h)))
+            used, x = packing.fit_counts(found, h)
+            assert (x > 0).all() and len(used) <= np.count_nonzero(h)
+            misfit, least = (np.linalg.norm(a[:, i] @ c - h) for i, c in ((used, x), (np.arange(len(found)), y)))
+            assert misfit <= max(1.05 * least, 0.5 * np.sqrt(np.count_nonzero(h))) + 1e-6
+
+
+def test_patterns_place_most_pieces(spark, tokenizer):
+    """At sf0.01 and beyond most pieces shorter than a sequence go by fitted patterns, at the least number of sequences."""
+    sf = Path("/root/testdata/sf0.01")
+    if not sf.is_dir():
+        pytest.skip("no test data")
+    lengths = packing.tokenize(real_docs(spark, sf), tokenizer).groupBy("length").count().collect()
+    h = np.zeros(packing.SIZE + 1, dtype=np.int64)
+    for x in lengths:
+        h[x["length"]] = x["count"]
+    plan = packing.Plan.best(h)
+    assert plan.patterned >= 0.75 * h[: packing.SIZE].sum()
+    assert plan.sequences == -(-int((h * np.arange(len(h))).sum()) // packing.SIZE)
+
+
 # ---------------------------------------------------------------- 7 WARC
 
 
