@@ -31,21 +31,37 @@ FROM d"""
 
 
 def _domain_sql(host: str) -> tuple[str, str]:
-    two = f"array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.')"
-    three = f"array_to_string(list_slice(string_split({host}, '.'), -3, -1), '.')"
-    listed = ", ".join(f"'{x}'" for x in url_filters.TWO_LABEL_SUFFIXES)
-    domain = f"CASE WHEN {two} IN ({listed}) THEN {three} ELSE {two} END"
-    return domain, f"CASE WHEN {two} IN ({listed}) THEN {two} ELSE list_extract(string_split({host}, '.'), -1) END"
+    last = lambda k: f"array_to_string(list_slice(string_split({host}, '.'), -{k}, -1), '.')"
+    listed = "', '".join(url_filters.SECOND_LABELS)
+    two = f"list_extract(string_split({host}, '.'), -2) IN ('{listed}') AND regexp_full_match(list_extract(string_split({host}, '.'), -1), '[a-z][a-z]')"
+    numbers = f"regexp_matches({host}, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\\[.*\\])\\z')"
+    both = [f"CASE WHEN {numbers} THEN {host} WHEN {two} THEN {last(k + 1)} ELSE {last(k)} END" for k in (2, 1)]
+    return both[0], both[1]
 
 
 def _strength_sql(nodes: str) -> str:
-    lo, hi = url_filters.LEAST_STRENGTH, url_filters.MOST_STRENGTH
-    return f"""(SELECT CASE WHEN c = 0 OR p = c THEN {hi} WHEN (s - c) / (p - c) <= 0 THEN {hi}
-      ELSE least({hi}, greatest({lo}, 1 / ((s - c) / (p - c)) - 1)) END
-    FROM (SELECT sum(n * power(k / n - m, 2) / (m * (1 - m))) AS s, count(*) AS c, sum(n) AS p FROM {nodes} WHERE m > 0 AND m < 1))"""
-
-
-def _url_sql(z: float = 1.0, threshold: float = 0.5) -> str:
+    """The likeliest strength of the grid, the largest where likelihoods are level."""
+    grid = ", ".join(map(repr, url_filters.STRENGTHS))
+    ll = "lgamma(s * m + k) - lgamma(s * m) + lgamma(s * (1 - m) + n - k) - lgamma(s * (1 - m)) + lgamma(s) - lgamma(s + n)"
+    return f"""(SELECT coalesce(max(s), {url_filters.STRENGTHS[-1]}) FROM
+      (SELECT s, ll, max(ll) OVER () AS top FROM
+        (SELECT s, sum({ll}) AS ll FROM {nodes}, (SELECT unnest([{grid}]) AS s) WHERE n > 0 AND m > 0 AND m < 1 GROUP BY s))
+      WHERE ll >= top - 1e-6 * (1 + abs(top)))"""
+
+
+def _chance_sql(threshold: float) -> str:
+    """Density of a beta over the angle, summed around the mean; columns a and b."""
+    points = url_filters.POINTS
+    reach = f"{url_filters.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
+    low, high = f"asin(sqrt(greatest(0.0, a / (a + b) - {reach})))", f"asin(sqrt(least(1.0, a / (a + b) + {reach})))"
+    level = "(2 * a - 1) * ln(sqrt(a / (a + b))) + (2 * b - 1) * ln(sqrt(b / (a + b)))"
+    at = f"({low} + ({high} - {low}) * (i + 0.5) / {points})"
+    d = f"exp((2 * a - 1) * ln(sin({at})) + (2 * b - 1) * ln(cos({at})) - ({level}))"
+    return f"""list_sum(list_transform(range({points}), lambda i: CASE WHEN sin({at}) * sin({at}) > {threshold} THEN {d} ELSE 0.0 END))
+      / list_sum(list_transform(range({points}), lambda i: {d}))"""
+
+
+def _url_sql(confidence: float = 0.95, threshold: float = 0.5) -> str:
     domain, suffix = _domain_sql("host")
     rules = sorted(url_filters.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"((u.host = '{h}' OR ends_with(u.host, '.{h}')) AND starts_with(path, '{p}'))", h + p, kind) for kind, h, p in rules]
@@ -53,10 +69,12 @@ def _url_sql(z: float = 1.0, threshold: float = 0.5) -> str:
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{k}'" for f, _, k in fits) + " END"
     return f"""
 WITH q AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+v AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM q),
-marks AS (SELECT doc_id AS page_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM u JOIN marks USING (page_id) GROUP BY 1),
+u AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '([.]?:[0-9]*|[.])\\z', '') AS named,
+  try_cast(regexp_extract(path, '{url_filters.SHOWN}', 1) AS BIGINT) AS doc_id FROM v),
+marks AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+h AS (SELECT named AS host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM u LEFT JOIN marks USING (doc_id) GROUP BY 1),
 hosts AS (SELECT host, n, k, {domain} AS domain, {suffix} AS suffix FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM hosts) AS m FROM hosts GROUP BY 1),
 s1 AS (SELECT suffix, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("s0")} AS g FROM s0)),
@@ -64,9 +82,9 @@ d0 AS (SELECT domain, x.suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM
 d1 AS (SELECT domain, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("d0")} AS g FROM d0)),
 h0 AS (SELECT host, n, k, m FROM hosts x JOIN d1 ON x.domain = d1.domain),
 h1 AS (SELECT host, g * m + k AS a, g * (1 - m) + n - k AS b FROM (SELECT *, {_strength_sql("h0")} AS g FROM h0)),
-blocked AS (SELECT host FROM h1 WHERE a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {threshold})
+blocked AS (SELECT host FROM h1 WHERE {_chance_sql(threshold)} >= {confidence})
 SELECT page_id, u.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN blocked ON u.host = blocked.host"""
+FROM u LEFT JOIN blocked ON u.named = blocked.host"""
 
 
 def _line_sql() -> str:

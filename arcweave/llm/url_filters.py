@@ -3,19 +3,25 @@
 Labelled page outcomes (bad or not) are counted per host.  A host's rate is
 shrunk towards its registered domain, the domain's towards its public suffix,
 the suffix's towards the whole: at each level the parent's posterior mean is
-the mean of a beta prior whose strength comes from the moments of the
-beta-binomial over that level's labelled nodes.  A host without labels is a
-node with no pages: it is judged by the prior of its nearest labelled domain,
-suffix or, failing both, the whole.  A host is blocked where the lower
-posterior bound (mean less ``z`` standard deviations) exceeds ``threshold``.
+the mean of a beta prior whose strength is the one of a grid that makes that
+level's labelled counts most likely under the beta-binomial.  A host without
+labels is a node with no pages: it is judged by the prior of its nearest
+labelled domain, suffix or, failing both, the whole.  A host is blocked where
+the lower ``1 - confidence`` quantile of its posterior exceeds ``threshold``.
+
+Reputation belongs to the host without port, user or trailing dot; an address
+in numbers is its own domain and suffix.  The ``host`` column keeps all that
+the url says.
 
 Scale: pages are only counted by host (partial aggregates) and joined once with the
 host table, which is a written table, so adaptive execution can split a hot
-host's rows.  What reaches the driver are three rows of moments.
+host's rows.  What reaches the driver is one sum per grid point and level.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path; it fits no rule and is judged like any other host.  Repeated pages are
-judged each; labels repeated for a page count once, bad if any is.
+judged each; labels repeated for a document count once, bad if any is.  Of
+rules that are equally long the first in their order wins.  Very long urls are
+single values of one row; no pages give no rows, no outcomes block nothing.
 """
 
 from __future__ import annotations
@@ -33,11 +39,15 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Suffixes of two labels under which names are registered (fixed values).
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk"]
+#: Second labels under which countries register names, as in co.uk (fixed values).
+SECOND_LABELS = ["ac", "co", "com", "edu", "gob", "gov", "go", "mil", "ne", "net", "nom", "or", "org", "sch"]
+#: The number of the document that a page shows, at the end of its path (fixed value).
+SHOWN = r"/([0-9]+)(?:\.[a-z]+)?/?\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bounds of a prior's strength, in pages.
-LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
+#: Prior strengths, in pages, that are tried: from a sixteenth to a million by factors of the square root of two.
+STRENGTHS = [2.0 ** (j / 2) for j in range(-8, 41)]
+#: Points at which posterior densities are summed, within so many standard deviations of the mean.
+POINTS, DEVIATIONS = 400, 12.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,36 +71,60 @@ def rule_columns(host: Column, path: Column, rules=None) -> tuple[Column, Column
     return (rule if rule is not None else null), (verdict if verdict is not None else null)
 
 
+def reputation_host(host: Column) -> Column:
+    """The host without user, port and trailing dot."""
+    return F.regexp_replace(host, r"(?s)^.*@|\.?:[0-9]*\z|\.\z", "")
+
+
+_NUMBERS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])\z"
+
+
+def _two_label(host: Column) -> Column:
+    return host.rlike(rf"(?:^|\.)(?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}\z")
+
+
 def registered_domain(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    named = F.when(_two_label(host), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(host.rlike(_NUMBERS), host).otherwise(named)
 
 
 def suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    named = F.when(_two_label(host), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(_NUMBERS), host).otherwise(named)
+
+
+def log_gamma(x: Column) -> Column:
+    """log of the gamma function of x > 0: Stirling's series at x + 7."""
+    product = x
+    for i in range(1, 7):
+        product = product * (x + i)
+    y = x + 7
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + series - F.log(product)
+
+
+def log_likelihood(n: Column, k: Column, m: Column, s: Column) -> Column:
+    """Beta-binomial log likelihood of k bad of n pages, prior mean m and strength s, without the binomial factor."""
+    a, b = s * m, s * (1 - m)
+    return log_gamma(a + k) - log_gamma(a) + log_gamma(b + n - k) - log_gamma(b) + log_gamma(s) - log_gamma(s + n)
 
 
 def _strength(nodes: DataFrame) -> float:
-    """Strength of the beta prior of nodes (n, k, m): k bad of n, parent's mean m."""
-    row = nodes.where("n > 0 AND m > 0 AND m < 1").agg(
-        F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), F.lit(2)) / (F.col("m") * (1 - F.col("m")))).alias("s"),
-        F.count("*").alias("nodes"),
-        F.sum("n").alias("pages"),
-    ).first()
-    if not row["nodes"] or row["pages"] == row["nodes"]:
-        return MOST_STRENGTH
-    rho = (row["s"] - row["nodes"]) / (row["pages"] - row["nodes"])
-    if rho <= 0:
-        return MOST_STRENGTH
-    return float(min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / rho - 1)))
+    """Strength of the beta prior of nodes (n, k, m): the likeliest of the grid, the largest where likelihoods are level."""
+    seen = nodes.where("n > 0 AND m > 0 AND m < 1").select(
+        *[F.col(c).cast("double").alias(c) for c in ("n", "k", "m")], F.explode(F.array(*map(F.lit, STRENGTHS))).alias("s")
+    )
+    sums = seen.groupBy("s").agg(F.sum(log_likelihood(*map(F.col, ("n", "k", "m", "s")))).alias("ll")).collect()  # one row a grid point
+    top = max((x["ll"] for x in sums), default=0.0)
+    return max((x["s"] for x in sums if x["ll"] >= top - 1e-6 * (1 + abs(top))), default=STRENGTHS[-1])
 
 
 def host_reputation(outcomes: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
     """(host, a, b): beta posterior of each host of ``outcomes`` (host, bad) and of ``unseen`` (host).
 
-    Hosts that only ``unseen`` has count as no pages, none bad: strengths and
-    means of the levels stay as they are, and a and b are those of the prior.
+    Hosts come as :func:`reputation_host` gives them.  Those that only
+    ``unseen`` has count as no pages, none bad: strengths and means of the
+    levels stay as they are, and a and b are those of the prior.
     """
     counted = outcomes.where("bad IS NOT NULL").select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("k"))
     if unseen is not None:
@@ -117,28 +151,52 @@ def host_reputation(outcomes: DataFrame, unseen: DataFrame | None = None) -> Dat
     return posterior
 
 
-def lower_bound(z: float) -> Column:
-    a, b = F.col("a"), F.col("b")
-    return a / (a + b) - F.lit(z) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+def chance_above(a: Column, b: Column, threshold: float) -> Column:
+    """The probability that a beta(a, b) rate lies above ``threshold``.
+
+    Sums the density over the angle t of rate = sin(t) ** 2, which is smooth at
+    both ends, at the middles of ``POINTS`` equal steps around the mean.
+    """
+    mean = a / (a + b)
+    reach = F.lit(DEVIATIONS) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    low, high = (F.asin(F.sqrt(x)) for x in (F.greatest(F.lit(0.0), mean - reach), F.least(F.lit(1.0), mean + reach)))
+    # both sums in one pass: the logarithm of the density is taken relative to its value at the mean
+    level = (2 * a - 1) * F.log(F.sqrt(mean)) + (2 * b - 1) * F.log(F.sqrt(1 - mean))
+
+    def step(sums: Column, i: Column) -> Column:
+        t = low + (high - low) * (i + 0.5) / POINTS
+        d = F.exp((2 * a - 1) * F.log(F.sin(t)) + (2 * b - 1) * F.log(F.cos(t)) - level)
+        above = F.sin(t) * F.sin(t) > threshold
+        return F.struct((sums["all"] + d).alias("all"), (sums["above"] + F.when(above, d).otherwise(0.0)).alias("above"))
+
+    zero = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("above"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(POINTS - 1)), zero, step, lambda s: s["above"] / s["all"])
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of labelled pages: bad where a label says toxic or of low quality."""
-    marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(
+    """(host, bad) of labelled pages: bad where a label says toxic or of low quality.
+
+    A page's url ends in the number of the document that it shows; that
+    document's label is the page's outcome.
+    """
+    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))).alias("bad")
     )
-    host, _ = host_and_path(F.col("url"))
-    return pages.select("page_id", host.alias("host")).join(marks, "page_id").select("host", "bad")
+    host, path = host_and_path(F.col("url"))
+    number = F.expr("try_cast(shown AS bigint)")
+    shown = pages.select(reputation_host(host).alias("host"), F.regexp_extract(path, SHOWN, 1).alias("shown"))
+    return shown.select("host", number.alias("doc_id")).join(marks, "doc_id").select("host", "bad")
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=None, z: float = 1.0, threshold: float = 0.5) -> DataFrame:
-    """Judge every row of ``pages`` (page_id, url); ``outcomes``: (host, bad)."""
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=None, confidence: float = 0.95, threshold: float = 0.5) -> DataFrame:
+    """Judge every row of ``pages`` (page_id, url); ``outcomes``: (host, bad), hosts without port or user."""
     host, path = host_and_path(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"))
-    reputation = host_reputation(outcomes, judged.select("host"))
-    blocked = materialize(reputation.where(lower_bound(z) > threshold).select("host", F.lit("block").alias("learned")), "blocked")
+    judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("named", reputation_host(F.col("host")))
+    reputation = host_reputation(outcomes, judged.select(F.col("named").alias("host")))
+    bad = chance_above(F.col("a"), F.col("b"), threshold) >= confidence
+    blocked = materialize(reputation.where(bad).select(F.col("host").alias("named"), F.lit("block").alias("learned")), "blocked")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return (
-        judged.join(blocked, "host", "left")
+        judged.join(blocked, "named", "left")
         .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "learned", F.lit("allow")).alias("verdict"))
     )

@@ -139,6 +139,54 @@ def test_unlabelled_hosts_take_the_prior(spark):
     assert all(beside[h] == pytest.approx(alone[h]) for h in alone)
 
 
+def test_ports_users_and_numbers_do_not_split_hosts(spark):
+    rows = [("evil.com", 1)] * 30 + [("fine.com", 0)] * 300 + [("10.0.0.7", 1)] * 30 + [("a.co.uk", 1)] * 40 + [("b.co.uk", 0)] * 40
+    urls = {
+        1: ("http://evil.com:8080/", "block"), 2: ("http://me@Evil.com./", "block"), 3: ("http://new.evil.com:1/x", "block"), 4: ("http://10.0.0.7/", "block"),
+        5: ("http://10.9.0.7/", "allow"), 6: ("http://w.a.co.uk/", "block"), 7: ("http://b.co.uk/", "allow"), 8: ("http://fine.com:443/", "allow"),
+    }
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in urls.items()], "page_id long, url string")
+    got = url_filters.filter_urls(pages, spark.createDataFrame(rows, "host string, bad int")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: v for i, (_, v) in urls.items()}
+    assert {r["page_id"]: r["host"] for r in got}[1] == "evil.com:8080"
+
+
+def test_posterior_against_sampling(spark):
+    r = np.random.default_rng(3)
+    cases = [(0.3, 4.0, 0.2), (5.0, 0.05, 0.5), (40.0, 30.0, 0.5), (2.0, 900.0, 0.01), (90_000.0, 110_000.0, 0.45), (1.0, 1.0, 0.25)]
+    for a, b, t in cases:
+        got = spark.range(1).select(url_filters.chance_above(F.lit(a), F.lit(b), t).alias("p")).first()["p"]
+        assert got == pytest.approx((r.beta(a, b, 200_000) > t).mean(), abs=0.02)
+    from math import lgamma
+
+    for x in (1e-4, 0.3, 1.0, 7.5, 1e3, 1e9):
+        assert spark.range(1).select(url_filters.log_gamma(F.lit(x))).first()[0] == pytest.approx(lgamma(x), rel=1e-9, abs=1e-9)
+
+
+def test_strength_is_the_likeliest(spark):
+    """Hosts drawn from a beta of strength 10 about a mean of 0.3."""
+    r = np.random.default_rng(8)
+    nodes = [(int(n), int(r.binomial(n, p)), 0.3) for n, p in zip(r.integers(1, 60, 1500), r.beta(3, 7, 1500), strict=True)]
+    got = url_filters._strength(spark.createDataFrame(nodes, "n long, k long, m double"))
+    assert 6 <= got <= 16
+    alike = [(int(n), int(r.binomial(n, 0.3)), 0.3) for n in r.integers(1, 60, 1500)]
+    assert url_filters._strength(spark.createDataFrame(alike, "n long, k long, m double")) > 200
+
+
+def test_url_filter_empty_and_odd(spark):
+    none = spark.createDataFrame([], "host string, bad int")
+    empty = spark.createDataFrame([], "page_id long, url string, host string, verdict int")
+    assert url_filters.filter_urls(empty, none).collect() == []
+    odd = [(1, None, "h", 1), (None, "http://a.b/1", "h", 2), (1, "http://a.b/" + "x" * 200_000, None, 3), (2, "http://\n:/", "", 4), (2, "http://\n:/", "", 4)]
+    pages = spark.createDataFrame(odd, "page_id long, url string, host string, verdict int")
+    got = url_filters.filter_urls(pages, spark.createDataFrame([("a.b", None), (None, 1), ("", 0)], "host string, bad int")).collect()
+    assert len(got) == 5 and all(r["verdict"] == "allow" for r in got)
+    tied = url_filters.filter_urls(pages, none, [("block", "a.b", "/"), ("allow", "a.b", "/")]).where("host = 'a.b'").collect()
+    assert {r["verdict"] for r in tied} == {"block"}
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in url_filters.page_outcomes(pages, labels).collect()] == [("a.b", 1)]
+
+
 # ---------------------------------------------------------------- 3 SimHash
 
 
