@@ -1,18 +1,23 @@
 """Quality rules under weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's counts.
-Documents with the same votes are one pattern; the number of patterns is at
-most 3 to the number of rules, whatever the corpus holds, so all documents are
-counted exactly and the counts fit on the driver.  Expectation-maximisation
-over the counts estimates each rule's accuracy on either class and the share
-of good documents; a document is kept where its posterior probability of being
-good reaches ``threshold``.
-
-Base checks (too short, too repetitive) reject beside the posterior.
+Rules may be sharp and err: they are not asked to agree.  Documents with the
+same votes are one pattern; the number of patterns is at most 3 to the number
+of rules, whatever the corpus holds, so all documents are counted exactly and
+the counts fit on the driver.  Expectation-maximisation over the counts
+estimates each rule's accuracy on either class and the share of good
+documents, without bounds on any of them; starting values tell the classes
+apart.  A document is kept where its posterior probability of being good
+reaches ``threshold``.  Given the class, votes are taken as independent, so
+rules that see the same thing (repeats and duplicate lines) are not both asked.
+
+Base checks (too short, too repetitive) reject beside the posterior; the model
+is fitted to the documents that pass them.
 
 Defined results: a null or empty text has no words, so it fails the base
 checks; a null doc_id passes through; repeated rows are judged each; with no
-documents at all the priors stand.
+documents that pass the base checks the starting values stand.  A very long
+text is one row like any other; its counts take memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -52,10 +57,15 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+#: Last characters of a line that ends a sentence or begins a list (fixed values).
+LINE_ENDS = b".!?\":"
+
+
 def counts(text: bytes) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_letters, n_ends, n_bare.
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_letters, n_ends, n_bare, n_distinct, n_ended.
 
-    Letters are ASCII ones and all code points beyond; bare words have none.
+    Letters are ASCII ones and all code points beyond; bare words have none;
+    ended lines end with one of ``LINE_ENDS``.
     """
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -70,10 +80,14 @@ def counts(text: bytes) -> tuple[int, ...]:
         len(text) - len(text.translate(None, _LETTERS)),
         text.count(b".") + text.count(b"!") + text.count(b"?"),
         len(words) - len(text.translate(None, _NOT_LETTER).split()),
+        len(set(words)),
+        sum(x.rstrip()[-1:] in LINE_ENDS for x in lines),
     )
 
 
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_ends", "n_bare"]
+_COUNTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_ends", "n_bare", "n_distinct", "n_ended",
+]
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -99,17 +113,21 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words < 50", "n_words >= 100"),
-    Rule("word_length", "word_chars < 3 * n_words OR word_chars > 11 * n_words", "word_chars BETWEEN 4 * n_words AND 8 * n_words"),
+    Rule("length", "n_words < 100", "n_words >= 150"),
+    Rule("word_length", "10 * word_chars < 45 * n_words OR 10 * word_chars > 62 * n_words", "10 * word_chars BETWEEN 47 * n_words AND 58 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    Rule("letters", "10 * n_letters < 8 * word_chars", "10 * n_letters >= 9 * word_chars"),
+    Rule("letters", "100 * n_letters < 94 * word_chars", "100 * n_letters >= 96 * word_chars"),
     Rule("bare_words", "20 * n_bare > n_words", "100 * n_bare <= n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 4 * n_lines", "20 * n_dup_lines <= n_lines"),
-    Rule("repeats", "10 * n_repeat_words > 4 * n_words", "20 * n_repeat_words <= n_words"),
-    Rule("capitals", "10 * n_capitals > 3 * n_letters", "10 * n_capitals <= n_letters"),
-    Rule("sentences", "n_words > 40 * n_ends", "n_words BETWEEN 4 * n_ends AND 25 * n_ends"),
+    Rule("vocabulary", "100 * n_distinct < 68 * n_words", "100 * n_distinct >= 75 * n_words"),
+    Rule("line_ends", "10 * n_ended < 9 * n_lines", "100 * n_ended >= 98 * n_lines"),
+    Rule("sentences", "n_words > 16 * n_ends OR n_words < 8 * n_ends", "n_words BETWEEN 9 * n_ends AND 15 * n_ends"),
+    Rule("capitals", "100 * n_capitals > 3 * n_letters OR 1000 * n_capitals < 8 * n_letters", "1000 * n_capitals BETWEEN 10 * n_letters AND 25 * n_letters"),
+    Rule("dup_lines", "10 * n_dup_lines > n_lines", "n_dup_lines = 0"),
 )
 
+#: Documents that fail these checks are rejected whatever the votes.
+FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
 
 @dataclass
 class VoteModel:
@@ -119,40 +137,47 @@ class VoteModel:
     good: np.ndarray  # by rule: probability of a good vote on a good document, given a vote
     bad: np.ndarray  # by rule: probability of a bad vote on a bad document, given a vote
 
+    def log_odds(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log odds of good before any vote, and what each rule's good and bad vote add."""
+        return float(np.log(self.prior / (1 - self.prior))), np.log(self.good / (1 - self.bad)), np.log((1 - self.good) / self.bad)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        up, down = votes == 1, votes == -1
-        if_good = np.log(self.prior) + up @ np.log(self.good) + down @ np.log(1 - self.good)
-        if_bad = np.log(1 - self.prior) + up @ np.log(1 - self.bad) + down @ np.log(self.bad)
-        return 1 / (1 + np.exp(np.clip(if_bad - if_good, -700, 700)))
+        start, up, down = self.log_odds()
+        return 1 / (1 + np.exp(-np.clip(start + (votes == 1) @ up + (votes == -1) @ down, -700, 700)))
 
 
-#: Bounds of a rule's accuracy on good and on bad documents.
-GOOD_RANGE, BAD_RANGE = (0.9, 0.999), (0.25, 0.99)
+#: Starting values, which are also the means of weak priors: share of good documents, accuracy on good and on bad ones.
+START = (0.8, 0.9, 0.5)
+#: Weight of those priors, in documents.
+PRIOR_WEIGHT = 2.0
 
 
-def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> VoteModel:
+def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 2000, tolerance: float = 1e-12) -> VoteModel:
     """Fit accuracies to vote patterns (rows) that occur ``weight`` times.
 
-    A good document passes nearly every rule, a bad one fails few of them, each
-    in its own way, so accuracies stay within ``GOOD_RANGE`` and ``BAD_RANGE``;
-    that also tells the classes apart.  Pseudo-counts keep small corpora steady.
+    Nothing is clipped: a rule that errs on most good documents is learned as
+    such.  The priors weigh ``PRIOR_WEIGHT`` documents in all.  Rounds end
+    where the log likelihood no longer rises.
     """
     m = votes.shape[1]
-    model = VoteModel(0.8, np.full(m, 0.97), np.full(m, 0.4))
+    model = VoteModel(START[0], np.full(m, START[1]), np.full(m, START[2]))
     up, down = (votes == 1).astype(float), (votes == -1).astype(float)
+    cast = up + down
     last = -np.inf
     for _ in range(rounds):
         p = model.posterior(votes)
+        if_good = np.log(model.prior) + up @ np.log(model.good) + down @ np.log(1 - model.good)
+        if_bad = np.log(1 - model.prior) + up @ np.log(1 - model.bad) + down @ np.log(model.bad)
+        now = float(weight @ np.logaddexp(if_good, if_bad))
+        if now - last <= tolerance * abs(now):
+            break
+        last = now
         g, b = weight * p, weight * (1 - p)
         model = VoteModel(
-            float(np.clip((g.sum() + 8) / (weight.sum() + 10), 0.01, 0.99)),
-            np.clip((g @ up + 9.7) / (g @ (up + down) + 10), *GOOD_RANGE),
-            np.clip((b @ down + 4) / (b @ (up + down) + 10), *BAD_RANGE),
+            float((g.sum() + PRIOR_WEIGHT * START[0]) / (weight.sum() + PRIOR_WEIGHT)),
+            (g @ up + PRIOR_WEIGHT * START[1]) / (g @ cast + PRIOR_WEIGHT),
+            (b @ down + PRIOR_WEIGHT * START[2]) / (b @ cast + PRIOR_WEIGHT),
         )
-        now = float((weight * np.abs(p - 0.5)).sum())
-        if abs(now - last) <= tolerance * max(1.0, abs(now)):
-            break
-        last = now
     return model
 
 
@@ -160,29 +185,29 @@ def _votes(rules: tuple[Rule, ...]) -> Column:
     return F.concat_ws("", *[F.when(r.vote() < 0, "-").when(r.vote() > 0, "+").otherwise("0") for r in rules])
 
 
-def learn(votes: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[VoteModel, dict[str, float]]:
-    """The model of all rows' vote patterns (column ``votes``) and each pattern's posterior."""
-    table = votes.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
+def learn(seen: DataFrame, rules: tuple[Rule, ...] = RULES) -> VoteModel:
+    """The model of all vote patterns of ``seen`` (votes and counts), documents that fail the base checks aside."""
+    table = seen.where(f"NOT ({FAILED})").groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
     n = {r["votes"]: r["n"] for r in table}
     keys = sorted(n)
     v = np.array([[{"-": -1, "0": 0, "+": 1}[c] for c in k] for k in keys], dtype=int).reshape(len(keys), len(rules))
-    model = fit(v, np.array([n[k] for k in keys], dtype=float))
-    return model, dict(zip(keys, map(float, model.posterior(v)), strict=True))
+    return fit(v, np.array([n[k] for k in keys], dtype=float))
 
 
-def _decide(seen: DataFrame, rules: tuple[Rule, ...], good: dict[str, float], prior: float, threshold: float) -> DataFrame:
-    p = F.lit(prior)
-    if good:
-        p = F.element_at(F.create_map(*[F.lit(x) for k in sorted(good) for x in (k, good[k])]), F.col("votes"))
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return seen.withColumns({"p_good": p, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+def _decide(seen: DataFrame, model: VoteModel, threshold: float) -> DataFrame:
+    start, up, down = model.log_odds()
+    odds = F.lit(start)
+    for i, (u, d) in enumerate(zip(up.tolist(), down.tolist(), strict=True), 1):
+        vote = F.substring("votes", i, 1)
+        odds = odds + F.when(vote == "+", u).when(vote == "-", d).otherwise(0.0)
+    p = 1 / (1 + F.exp(-odds))
+    return seen.withColumns({"p_good": p, "base_failed": F.expr(FAILED)}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, base_failed, posterior ``p_good`` and ``kept`` for every row of ``docs``."""
     seen = materialize(measure(docs).withColumn("votes", _votes(rules)), "votes")
-    model, good = learn(seen, rules)
-    return _decide(seen, rules, good, model.prior, threshold)
+    return _decide(seen, learn(seen, rules), threshold)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -191,7 +216,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
     Counts are taken twice, once to learn and once to decide, which is cheaper
     than shuffling the texts to meet them.
     """
-    model, good = learn(measure(docs).select(_votes(rules).alias("votes")), rules)
+    model = learn(measure(docs).withColumn("votes", _votes(rules)), rules)
     fields = ", ".join(f"{c} long" for c in _COUNTS)
     doc = f"doc {docs.schema.simpleString()}"
     at = docs.columns.index("text")
@@ -203,4 +228,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
             yield pa.RecordBatch.from_arrays([whole, *(pa.array(x, type=pa.int64()) for x in out)], names=["doc", *_COUNTS])
 
     seen = docs.select(F.struct(*docs.columns).alias("doc")).mapInArrow(work, f"{doc}, {fields}").withColumn("votes", _votes(rules))
-    return _decide(seen, rules, good, model.prior, threshold).where("kept").select("doc.*")
+    return _decide(seen, model, threshold).where("kept").select("doc.*")

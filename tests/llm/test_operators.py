@@ -273,29 +273,89 @@ def test_quality_counts(spark, sf):
 
 
 def test_quality_em_recovers_accuracies():
+    """Also where a rule errs on half the good documents, or hardly ever finds a bad one."""
     r = np.random.default_rng(3)
-    n, m = 20000, 8
-    y = r.random(n) < 0.75
-    good, bad = np.linspace(0.92, 0.99, m), np.linspace(0.3, 0.7, m)
-    hit = r.random((n, m))
-    votes = np.where(y[:, None], np.where(hit < good, 1, -1), np.where(hit < bad, -1, 1))
-    votes[r.random((n, m)) < 0.2] = 0
-    patterns, weight = np.unique(votes, axis=0, return_counts=True)
-    model = quality.fit(patterns, weight.astype(float))
-    assert abs(model.prior - 0.75) < 0.03 and np.abs(model.good - good).max() < 0.03 and np.abs(model.bad - bad).max() < 0.08
-    assert ((model.posterior(votes) >= 0.5) == y).mean() > 0.93
+    n, m = 40000, 8
+    for good, bad in ((np.linspace(0.92, 0.99, m), np.linspace(0.3, 0.7, m)), (np.linspace(0.5, 0.995, m), np.linspace(0.995, 0.05, m))):
+        y = r.random(n) < 0.75
+        hit = r.random((n, m))
+        votes = np.where(y[:, None], np.where(hit < good, 1, -1), np.where(hit < bad, -1, 1))
+        votes[r.random((n, m)) < 0.2] = 0
+        patterns, weight = np.unique(votes, axis=0, return_counts=True)
+        model = quality.fit(patterns, weight.astype(float))
+        assert abs(model.prior - 0.75) < 0.03 and np.abs(model.good - good).max() < 0.03 and np.abs(model.bad - bad).max() < 0.08
+        ideal = quality.VoteModel(0.75, good, bad)
+        right, best = (((x.posterior(votes) >= 0.5) == y).mean() for x in (model, ideal))
+        assert right > best - 0.01
+
+
+def brute_votes(text):
+    """A vote of each rule, written out."""
+    text = text or ""
+    n, chars, symbols, dup, _ = brute_counts(text)
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    lines = [x.strip("\x20\x09\x0a\x0b\x0c\x0d") for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    letters = [c for c in text if re.match("[A-Za-z]", c) or ord(c) > 127]
+    capitals = len(re.findall("[A-Z]", text))
+    bare = sum(not re.search("[A-Za-z\x80-\U0010ffff]", w) for w in words)
+    ends, ended = len(re.findall("[.!?]", text)), sum(x[-1] in '.!?":' for x in lines)
+    tests = [
+        (n < 100, n >= 150), (10 * chars < 45 * n or 10 * chars > 62 * n, 47 * n <= 10 * chars <= 58 * n), (10 * symbols > n, 50 * symbols <= n),
+        (100 * len(letters) < 94 * chars, 100 * len(letters) >= 96 * chars), (20 * bare > n, 100 * bare <= n),
+        (100 * len(set(words)) < 68 * n, 100 * len(set(words)) >= 75 * n), (10 * ended < 9 * len(lines), 100 * ended >= 98 * len(lines)),
+        (n > 16 * ends or n < 8 * ends, 9 * ends <= n <= 15 * ends),
+        (100 * capitals > 3 * len(letters) or 1000 * capitals < 8 * len(letters), 10 * len(letters) <= 1000 * capitals <= 25 * len(letters)),
+        (10 * dup > len(lines), dup == 0),
+    ]
+    return [-1 if bad else 1 if good else 0 for bad, good in tests]
+
+
+def brute_judge(rows):
+    """(base_failed, kept) of every row: expectation-maximisation over documents, one by one, without patterns."""
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in (brute_counts(t) for _, t in rows)]
+    votes = [brute_votes(t) for _, t in rows]
+    seen = [v for v, f in zip(votes, failed, strict=True) if not f]
+    m = len(quality.RULES)
+    share, good, bad = 0.8, [0.9] * m, [0.5] * m
+
+    def p_good(v):
+        a, b = share, 1 - share
+        for j, x in enumerate(v):
+            a *= good[j] if x == 1 else 1 - good[j] if x == -1 else 1
+            b *= 1 - bad[j] if x == 1 else bad[j] if x == -1 else 1
+        return a / (a + b)
+
+    for _ in range(300):
+        p = [p_good(v) for v in seen]
+        share = (sum(p) + 1.6) / (len(p) + 2)
+        for j in range(m):
+            good_cast, bad_cast = (sum(w for w, v in zip(q, seen, strict=True) if v[j]) for q in (p, [1 - x for x in p]))
+            good[j] = (sum(w for w, v in zip(p, seen, strict=True) if v[j] == 1) + 1.8) / (good_cast + 2)
+            bad[j] = (sum(1 - w for w, v in zip(p, seen, strict=True) if v[j] == -1) + 1) / (bad_cast + 2)
+    return [(f, not f and p_good(v) >= 0.5) for v, f in zip(votes, failed, strict=True)]
+
+
+def test_quality_query_against_brute_force(spark, sf):
+    """The whole result of the query's operator."""
+    df = docs_of(spark, ODD).unionByName(real_docs(spark, sf))
+    rows = pairs(df)
+    want = Counter((i, *brute_counts(t), *j) for (i, t), j in zip(rows, brute_judge(rows), strict=True))
+    got = quality.judge(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert Counter(tuple(r) for r in got.collect()) == want
 
 
 def test_quality_against_labels(spark):
+    """The posterior keeps what an all-must-pass filter would lose, and rejects what it rejects."""
     sf = "/root/testdata/sf0.01"
     j = quality.judge(real_docs(spark, sf)).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed")
-    good = j.where("quality = 1").agg(F.avg(F.col("kept").cast("double"))).first()[0]
-    bad = j.where("quality = 0").agg(F.avg(F.col("kept").cast("double"))).first()[0]
-    assert good > 0.98 and (bad is None or bad < 0.1)
+    share = F.avg(F.col("kept").cast("double")), F.avg((~F.col("votes").contains("-")).cast("double"))
+    good = j.where("quality = 1").agg(*share).first()
+    bad = j.where("quality = 0").agg(*share).first()
+    assert good[0] > 0.98 and good[1] < 0.85 and bad[0] < 0.05
 
 
 def test_quality_keeps_columns(spark):
-    text = " ".join(f"word{i}" + "." * (i % 12 == 11) for i in range(204))
+    text = " ".join(("Word" if i % 12 == 0 else "word") + chr(97 + i // 26) + chr(97 + i % 26) + "." * (i % 12 == 11) for i in range(204))
     kept = quality.keep_good(docs_of(spark, [*ODD, (50, text)], extra=True))
     assert kept.columns == docs_of(spark, [], extra=True).columns
     assert 50 in {r["doc_id"] for r in kept.collect()} and 1 not in {r["doc_id"] for r in kept.collect()}
