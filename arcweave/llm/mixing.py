@@ -13,9 +13,9 @@ sums over the (few) tree nodes give them, so nothing reaches the driver.
 
 Each leaf then reads its documents in seeded order, epoch after epoch, and
 takes the longest prefix of documents within its budget.  Documents are summed
-by bins of that order first; only the bin in which the budget ends is summed
-document by document, so a leaf that holds a third of all rows is never
-gathered in one task.
+by bins of that order first, bins by sixteenths of it; bins beyond the budget
+drop out, and within a bin documents are summed one by one, so a leaf that
+holds a third of all rows is never gathered in one task.
 
 Defined results: null domain, language or source are leaves of their own; a
 null or empty text has no tokens and costs nothing; a budget beyond all
@@ -128,12 +128,19 @@ def mix(
     rows = measured.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
     rows = rows.withColumn("place", place(F.col("epoch"), seed, F.col("doc_id"))).withColumn("bin", F.substring("place", 1, bin_digits))
     sums = rows.groupBy(*leaf, "epoch", "bin").agg(F.sum("n_tokens").alias("n"))
-    w = Window.partitionBy(*leaf).orderBy("epoch", "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # prefix sums in two levels: a leaf's sixteenths of an epoch, and the bins of each
+    part = F.substring("bin", 1, 1)
+    sums = materialize(sums.withColumn("part", part), "bins")
+    upto = Window.partitionBy(*leaf).orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = sums.groupBy(*leaf, "epoch", "part").agg(F.sum("n").alias("whole")).withColumn("base", F.sum("whole").over(upto) - F.col("whole"))
+    w = Window.partitionBy(*leaf, "epoch", "part").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in leaf]
-    bins = sums.withColumn("upto", F.sum("n").over(w)).alias("s").join(shares.alias("t"), same("s", "t")).select(
+    parted = [*same("s", "p"), F.col("s.epoch") == F.col("p.epoch"), F.col("s.part") == F.col("p.part")]
+    summed = sums.withColumn("within", F.sum("n").over(w)).alias("s").join(parts.alias("p"), parted).select("s.*", (F.col("base") + F.col("within")).alias("upto"))
+    bins = summed.alias("s").join(shares.alias("t"), same("s", "t")).select(
         *[F.col(f"s.{k}").alias(k) for k in leaf], "epoch", "bin", "upto", (F.col("upto") - F.col("n")).alias("start"), "budget"
     )
-    bins = materialize(bins.where("start <= budget"), "bins")
+    bins = materialize(bins.where("start <= budget"), "open-bins")
     near = rows.alias("r").join(
         bins.alias("b"), [*same("r", "b"), F.col("r.epoch") == F.col("b.epoch"), F.col("r.bin") == F.col("b.bin")]
     ).select("doc_id", *[F.col(f"r.{k}").alias(k) for k in leaf], "n_tokens", F.col("r.epoch").alias("epoch"), F.col("r.bin").alias("bin"), "place", "upto", "start", "budget")
@@ -147,6 +154,34 @@ def mix(
 
 
 def keep_mixed(docs: DataFrame, budget: Column, domain: Column | None = None, weights=None, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` chosen in one epoch, with all their columns; rows of one doc_id stand or fall together."""
-    chosen = mix(docs, budget, domain, weights, seed, 1).select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi")
+    """The rows of ``docs`` chosen in one epoch, with all their columns.
+
+    Rows that repeat doc_id, place in the tree and tokens count one by one: of
+    n of them as many stay as the budget took, the first by text.
+    """
+    where = domain if domain is not None else F.lit("all")
+    keys = ["doc_id", *LEVELS, "n_tokens"]
+    taken = mix(docs, budget, domain, weights, seed, 1).groupBy(*keys).agg(F.count("*").alias("k"))
+    have = docs.select("doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")).groupBy(*keys).agg(F.count("*").alias("n"))
+
+    def same(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+    marked = have.alias("h").join(taken.alias("t"), same("h", "t")).select("h.*", F.when(F.col("k") < F.col("n"), F.col("k")).alias("some"))
+    marked = materialize(marked, "taken")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")).alias("r")
+    whole = marked.where("some IS NULL").alias("m")
+    kept = rows.join(whole, same("r", "m"), "left_semi").select("doc")
+    partial = marked.where("some IS NOT NULL")
+    if not partial.isEmpty():
+        # repeated rows are counted by text and ranked by those counts; rows alike in text are cut by salted ranks
+        some = materialize(rows.join(partial.alias("m"), same("r", "m")).select("doc", *[F.col(f"m.{k}").alias(k) for k in keys], "some")
+            .withColumns({"text": F.coalesce("doc.text", F.lit("")), "salt": F.spark_partition_id()}), "repeated")
+        counts = some.groupBy(*keys, "text", "salt").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(*keys).orderBy("text", "salt").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        cells = [*keys, "text", "salt"]
+        placed = some.alias("s").join(counts.alias("c"), [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in cells]).select("s.*", "before")
+        rank = F.row_number().over(Window.partitionBy(*cells).orderBy(F.lit(0)))
+        kept = kept.union(placed.withColumn("rank", F.col("before") + rank).where("rank <= some").select("doc"))
+    return kept.select("doc.*")

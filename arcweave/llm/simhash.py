@@ -107,11 +107,9 @@ def near_links(nodes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         tag -= (1 << 64) if tag >> 63 else 0
         variants.append(_flip(kept.bitwiseOR(F.lit(tag).cast("long")), rest))
     spread = joined.select("fp", "comp", F.explode(F.concat(*variants)).alias("v"))
-    w = Window.partitionBy("v")
-    met = materialize(
-        spread.select("fp", (F.min("comp").over(w) < F.max("comp").over(w)).alias("meets")).where("meets").select("fp").distinct(),
-        "candidates",
-    )
+    # a variant's bucket has no bound here, so it is only ever seen as its least and greatest component
+    ends = spread.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("v")
+    met = materialize(spread.join(materialize(ends, "meetings"), "v", "left_semi").select("fp").distinct(), "candidates")
     odd = F.bit_count("fp") % 2 == 1
     one = _flip(F.col("fp"), list(range(64)))
     pairs = F.expr(
@@ -156,9 +154,19 @@ def keep_one(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
     Of rows that repeat that doc_id the one with the smallest text stays; a
     component without any doc_id keeps the row with the smallest text.
-    Fingerprints are taken twice, which is cheaper than keeping the texts.
+
+    Who goes is decided by doc_ids and fingerprints alone; the texts meet only
+    the list of those, so a large group of copies never moves.  Fingerprints are
+    taken twice, which is cheaper than keeping the texts.
     """
-    found = materialize(components(materialize(fingerprints(docs, width, seed), "prints")), "components")
+    prints = materialize(fingerprints(docs, width, seed), "prints")
+    found = materialize(components(prints), "components")
+    rows = prints.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(found, "fp")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    held = materialize(rows.withColumn("first", first), "held")
+    several = held.where("first").groupBy("c").agg(F.sum("n").alias("rows")).where("rows > 1").select("c")
+    tied = materialize(held.where("first").join(several, "c").select("doc_id", "fp", "c"), "tied")
+    going = materialize(held.where("NOT first").select("doc_id", "fp").union(tied.select("doc_id", "fp")), "going")
     at = docs.columns.index("text")
 
     def work(batches):
@@ -168,6 +176,13 @@ def keep_one(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([whole, pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
     packed = docs.select(F.struct(*docs.columns).alias("doc")).mapInArrow(work, f"doc {docs.schema.simpleString()}, fp long")
-    first = packed.join(found, "fp").where("doc.doc_id <=> component_id")
-    w = Window.partitionBy("c").orderBy("doc.text")
-    return first.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc.*")
+
+    def same(other: DataFrame) -> list[Column]:
+        return [packed["fp"] == other["fp"], packed["doc.doc_id"].eqNullSafe(other["doc_id"])]
+
+    kept = packed.join(going, same(going), "left_anti").select("doc")
+    if not tied.isEmpty():
+        # the least text is a partial aggregate: however many rows repeat an id, a task hands on one
+        least = packed.join(tied, same(tied)).groupBy("c").agg(F.min_by("doc", F.coalesce("doc.text", F.lit(""))).alias("doc"))
+        kept = kept.union(least.select("doc"))
+    return kept.select("doc.*")

@@ -870,6 +870,29 @@ def test_mixing_shortage_goes_to_siblings(spark):
     assert {r["lang"] for r in none.collect()} == {"en"}
 
 
+def test_keep_mixed_holds_its_budget(spark):
+    """Of repeated rows as many stay as the budget takes, whatever their texts and null keys."""
+    rows = [(1, "w " * 10)] * 50 + [(None, "v " * 10)] * 30 + [(None, f"u{i} " * 10) for i in range(20)] + [(i, "z " * 10) for i in range(5, 9)] + [(3, None), (3, "")]
+    docs = docs_of(spark, rows, extra=True).repartition(5)
+    for budget in (95, 1040):
+        got = mixing.keep_mixed(docs, F.lit(budget)).collect()
+        mixed = mixing.mix(docs, F.lit(budget)).select("doc_id", "n_tokens").collect()
+        assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in got) == Counter(map(tuple, mixed))
+        assert sum(len((r["text"] or "").split()) for r in got) <= budget
+        have = Counter(rows)
+        assert all(n <= have[k] for k, n in Counter((r["doc_id"], r["text"]) for r in got).items())
+
+
+def test_keep_one_of_repeated_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, base)] * 40 + [(4, "b " + base), (None, base), (9, base), (None, "lonely one here now"), (None, "lonely one here now"), (2, None), (2, "")]
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(spark, rows, extra=True).repartition(4)).select("doc_id", "text").collect() if r["text"] is not None)
+    near = brute_components([brute_fp(base), brute_fp("b " + base)])[1] == 0
+    want = [(4, "b " + base if near else base), *([] if near else [(4, "b " + base)]), (None, "lonely one here now")]
+    assert [(i, t) for _, i, t in got if t] == sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert simhash.keep_one(docs_of(spark, [])).count() == 0 and simhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
 # ---------------------------------------------------------------- all
 
 
