@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.plans.materialize import discard, materialize
+from arcweave.plans.materialize import discard, materialize, stat
 
 #: Keys over which the edges of one node are spread.
 SALTS = 8
@@ -29,12 +29,10 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return salted.join(least, ["u", "salt"]).select("u", "v", "m")
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], row["s"]
+def _state() -> dict:
+    """What tells one round's edges (u <> v) from the next's, taken while they are written."""
+    edge = F.col("u") != F.col("v")
+    return {"n": F.count_if(edge), "s": F.sum(F.when(edge, F.xxhash64("u", "v").cast("decimal(38,0)")))}
 
 
 def component_links(links: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -45,10 +43,10 @@ def component_links(links: DataFrame, u: str = "u", v: str = "v", max_rounds: in
     """
     links = links.select(F.col(u).alias("u"), F.col(v).alias("v")).dropna()
     start = materialize(
-        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
+        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", **_state()
     )
     edges, written = start.where("u <> v"), None
-    before = _state(edges)
+    before = stat(start, "n"), stat(start, "s")
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -61,10 +59,10 @@ def component_links(links: DataFrame, u: str = "u", v: str = "v", max_rounds: in
             .where("u <> v")
             .distinct()
         )
-        old, written = written, materialize(small, "round")
+        old, written = written, materialize(small, "round", **_state())
         discard(old)  # only the newest round is read from here on
         edges = written
-        after = _state(edges)
+        after = stat(written, "n"), stat(written, "s")
         if after == before:
             break
         before = after

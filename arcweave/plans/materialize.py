@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a folder of this machine is made and
-    set, so that one session keeps one folder.
+    Only where it is unset and the session is local a folder of this machine is
+    made and set, so that one session keeps one folder; on a cluster executors
+    would each write to their own disk, so there the setting is required.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         made = tempfile.mkdtemp(prefix="arcweave-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
