@@ -107,9 +107,12 @@ def near_links(nodes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         tag -= (1 << 64) if tag >> 63 else 0
         variants.append(_flip(kept.bitwiseOR(F.lit(tag).cast("long")), rest))
     spread = joined.select("fp", "comp", F.explode(F.concat(*variants)).alias("v"))
-    # a variant's bucket has no bound here, so it is only ever seen as its least and greatest component
-    ends = spread.groupBy("v").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("v")
-    met = materialize(spread.join(materialize(ends, "meetings"), "v", "left_semi").select("fp").distinct(), "candidates")
+    # a bucket holds at most 2 ** 21 values of the free block for each of 44 variants; the sort of a window may spill
+    w = Window.partitionBy("v")
+    met = materialize(
+        spread.select("fp", (F.min("comp").over(w) < F.max("comp").over(w)).alias("meets")).where("meets").select("fp").distinct(),
+        "candidates",
+    )
     odd = F.bit_count("fp") % 2 == 1
     one = _flip(F.col("fp"), list(range(64)))
     pairs = F.expr(
