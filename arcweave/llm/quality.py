@@ -194,12 +194,11 @@ def learn(seen: DataFrame, rules: tuple[Rule, ...] = RULES) -> VoteModel:
     return fit(v, np.array([n[k] for k in keys], dtype=float))
 
 
-def _decide(seen: DataFrame, model: VoteModel, threshold: float) -> DataFrame:
+def _decide(seen: DataFrame, rules: tuple[Rule, ...], model: VoteModel, threshold: float) -> DataFrame:
     start, up, down = model.log_odds()
     odds = F.lit(start)
-    for i, (u, d) in enumerate(zip(up.tolist(), down.tolist(), strict=True), 1):
-        vote = F.substring("votes", i, 1)
-        odds = odds + F.when(vote == "+", u).when(vote == "-", d).otherwise(0.0)
+    for rule, u, d in zip(rules, up.tolist(), down.tolist(), strict=True):
+        odds = odds + F.expr(f"CASE WHEN {rule.bad} THEN {d!r}D WHEN {rule.good} THEN {u!r}D ELSE 0D END")
     p = 1 / (1 + F.exp(-odds))
     return seen.withColumns({"p_good": p, "base_failed": F.expr(FAILED)}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
@@ -207,7 +206,7 @@ def _decide(seen: DataFrame, model: VoteModel, threshold: float) -> DataFrame:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, base_failed, posterior ``p_good`` and ``kept`` for every row of ``docs``."""
     seen = materialize(measure(docs).withColumn("votes", _votes(rules)), "votes")
-    return _decide(seen, learn(seen, rules), threshold)
+    return _decide(seen, rules, learn(seen, rules), threshold)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -227,5 +226,5 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
             out = list(zip(*map(counts, texts(whole.field(at))), strict=True)) or [()] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays([whole, *(pa.array(x, type=pa.int64()) for x in out)], names=["doc", *_COUNTS])
 
-    seen = docs.select(F.struct(*docs.columns).alias("doc")).mapInArrow(work, f"{doc}, {fields}").withColumn("votes", _votes(rules))
-    return _decide(seen, model, threshold).where("kept").select("doc.*")
+    seen = docs.select(F.struct(*docs.columns).alias("doc")).mapInArrow(work, f"{doc}, {fields}")
+    return _decide(seen, rules, model, threshold).where("kept").select("doc.*")
