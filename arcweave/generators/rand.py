@@ -11,6 +11,8 @@ import math
 import random
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,46 @@ def uniform(seed: int, *what: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
-def _all_pairs(n: int, directed: bool) -> DataFrame:
-    """Every pair of 0 .. n-1; quadratic by the model's definition, dealt over tasks by row."""
-    if n < 2:
-        return edge_frame([]).select("src", "dst")
-    rows = _ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long") if directed else F.col("id") + 1, F.lit(n).cast("long"))).alias("dst"))
-    return rows.where((F.col("dst") < n) & (F.col("src") != F.col("dst")) & (F.lit(True) if directed else F.col("dst") > F.col("src")))
+#: Numbers drawn or handed on at a time.
+CHUNK = 1 << 16
+
+
+def chosen(rows: DataFrame, seed: int) -> DataFrame:
+    """(src, run, k): of the numbers 0 .. m - 1 of each row (src, run, m, p) every one with probability p.
+
+    Jumps from one chosen number to the next are geometric and drawn until they
+    pass m, from a stream of (seed, src, run): the work follows what is chosen,
+    nothing is cut off, and a task that runs again draws the same.
+    """
+    key = seed % (1 << 64)
+    names = ["src", "run", "k"]
+
+    def draw(batches):
+        for batch in batches:
+            held, size = [], 0
+            for src, run, m, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                r, at = np.random.default_rng((key, src, run)), -1
+                while p > 0 and at < m - 1:
+                    jumps = r.geometric(min(p, 1.0), min(CHUNK, int((m - at) * p) + 16))
+                    got = at + np.cumsum(np.minimum(jumps, m + 1))
+                    at = int(got[-1])
+                    got = got[got < m]
+                    held.append((np.full(len(got), src), np.full(len(got), run, dtype=np.int32), got.astype(np.int64)))
+                    size += len(got)
+                    if size >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+    typed = rows.selectExpr("CAST(src AS BIGINT) AS src", "CAST(run AS INT) AS run", "CAST(m AS BIGINT) AS m", "CAST(p AS DOUBLE) AS p")
+    return typed.mapInArrow(draw, "src long, run int, k long")
+
+
+def _likely_pairs(n: int, top: float, seed: int) -> DataFrame:
+    """(src, dst) with src < dst, every pair of 0 .. n - 1 with probability ``top``."""
+    rows = _ids(n).select(F.col("id").alias("src"), F.lit(0).alias("run"), (F.lit(n - 1) - F.col("id")).alias("m"), F.lit(float(top)).alias("p"))
+    return chosen(rows, seed).select("src", (F.col("src") + F.col("k") + 1).alias("dst"))
 
 
 def _from_pairs(n: int, pairs, directed: bool, nodes: DataFrame | None = None) -> Graph:
@@ -37,28 +73,14 @@ def _from_pairs(n: int, pairs, directed: bool, nodes: DataFrame | None = None) -
 
 
 def erdos_renyi_gnp(n: int, p: float, seed: int = 0, directed: bool = False) -> Graph:
-    """Each pair with probability ``p``, by jumps between chosen pairs within each row.
-
-    Row u's chosen partners are found by geometric jumps, so the work follows
-    the edges and not the pairs.
-    """
+    """Each pair with probability ``p``, by jumps between chosen pairs within each row."""
     if n < 2 or p <= 0:
         return empty_graph(n, directed)
-    if p >= 1:
-        return _graph(n, _all_pairs(n, directed), directed)
-    width = F.lit(n - 1) if directed else F.lit(n - 1) - F.col("id")
-    top = int(n * p + 8 * math.sqrt(n * p * (1 - p)) + 16)
-    # partial sums of jumps 1 + floor(log(1 - u) / log(1 - p)); a row needs ``top`` of them but in vanishing cases
-    jump = lambda i: F.floor(F.log(F.lit(1.0) - uniform(seed, F.col("id"), i)) / F.lit(math.log(1 - p))) + 1
-    jumps = F.transform(F.sequence(F.lit(1), F.lit(top)), jump)
-    steps = F.aggregate(
-        jumps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, j: F.struct((s["at"] + j).alias("at"), F.when(s["at"] + j <= width, F.concat(s["out"], F.array(s["at"] + j))).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"],
-    )
-    rows = _ids(n).select(F.col("id").alias("src"), F.explode(steps).alias("k"))
-    dst = F.when(F.col("k") - 1 < F.col("src"), F.col("k") - 1).otherwise(F.col("k")) if directed else F.col("src") + F.col("k")
-    return _graph(n, rows.select("src", dst.alias("dst")), directed)
+    if not directed:
+        return _graph(n, _likely_pairs(n, p, seed), directed)
+    rows = _ids(n).select(F.col("id").alias("src"), F.lit(0).alias("run"), F.lit(n - 1).alias("m"), F.lit(float(p)).alias("p"))
+    dst = F.when(F.col("k") < F.col("src"), F.col("k")).otherwise(F.col("k") + 1)
+    return _graph(n, chosen(rows, seed).select("src", dst.alias("dst")), directed)
 
 
 def erdos_renyi_gnm(n: int, m: int, seed: int = 0, directed: bool = False) -> Graph:
@@ -152,10 +174,25 @@ def random_regular(n: int, d: int, seed: int = 0, tries: int = 100) -> Graph:
 
 
 def sbm_with_labels(n: int, k: int, p_in: float, p_out: float, seed: int = 0, directed: bool = False) -> tuple[Graph, DataFrame]:
-    """(graph, (id, block)): pairs by probability of their blocks; blocks are id mod k."""
-    block = lambda c: F.col(c) % k
-    p = F.when(block("src") == block("dst"), F.lit(p_in)).otherwise(F.lit(p_out))
-    edges = _all_pairs(n, directed).where(uniform(seed, F.col("src"), F.col("dst")) < p)
+    """(graph, (id, block)): pairs by probability of their blocks; blocks are id mod k.
+
+    Every row draws once from its own block and once from all others, which
+    are numbered by arithmetic, so pairs that aren't drawn are never listed.
+    """
+    src, j, others = F.col("src"), F.col("k"), max(k - 1, 1)
+    if directed:
+        same = F.floor((F.lit(n - 1) - F.col("id") % k) / k)
+        rest = F.lit(n - 1) - same
+        own = src % k + (j + (j >= F.floor(src / k)).cast("long")) * k
+        far = F.floor(j / others) * k + j % others + (j % others >= src % k).cast("long")
+    else:
+        same = F.floor((F.lit(n - 1) - F.col("id")) / k)
+        rest = F.lit(n - 1) - F.col("id") - same
+        own = src + (j + 1) * k
+        far = src + j + F.floor(j / others) + 1
+    runs = F.array(*[F.struct(F.lit(i).alias("run"), m.cast("long").alias("m"), F.lit(float(p)).alias("p")) for i, m, p in ((0, same, p_in), (1, rest, p_out))])
+    rows = _ids(n).select(F.col("id").alias("src"), F.explode(runs).alias("x")).select("src", "x.*")
+    edges = chosen(rows, seed).select("src", F.when(F.col("run") == 0, own).otherwise(far).cast("long").alias("dst"))
     return _graph(n, edges, directed), _ids(n).select("id", (F.col("id") % k).alias("block"))
 
 
@@ -164,7 +201,10 @@ def sbm(n: int, k: int, p_in: float, p_out: float, seed: int = 0, directed: bool
 
 
 def dcsbm(n: int, k: int, p_in: float, p_out: float, seed: int = 0, theta: str | Callable[[random.Random], float] = "power_law", gamma: float = 2.5, mean: float = 3.0) -> Graph:
-    """Degree-corrected blocks; theta by power_law, poisson or a callable."""
+    """Degree-corrected blocks; theta by power_law, poisson or a callable.
+
+    Pairs are drawn with the largest probability that any has and thinned.
+    """
     r = random.Random(seed)
 
     def draw() -> float:
@@ -182,8 +222,9 @@ def dcsbm(n: int, k: int, p_in: float, p_out: float, seed: int = 0, theta: str |
     t = node_frame([(i, str(x * scale)) for i, x in enumerate(raw)]).select("id", F.col("data").cast("double").alias("t"))
     s, d = t.select(F.col("id").alias("src"), F.col("t").alias("ts")), t.select(F.col("id").alias("dst"), F.col("t").alias("td"))
     p = F.when(F.col("src") % k == F.col("dst") % k, F.lit(p_in)).otherwise(F.lit(p_out))
-    pairs = _all_pairs(n, False).join(s, "src").join(d, "dst")
-    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) < F.col("ts") * F.col("td") * p).select("src", "dst"), False)
+    top = min(1.0, max(p_in, p_out) * (max(raw, default=0.0) * scale) ** 2)
+    pairs = _likely_pairs(n, top, seed).join(s, "src").join(d, "dst")
+    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < F.col("ts") * F.col("td") * p).select("src", "dst"), False)
 
 
 def hsbm(n: int, branching: int, depth: int, probabilities: list[float], seed: int = 0) -> Graph:
@@ -194,7 +235,8 @@ def hsbm(n: int, branching: int, depth: int, probabilities: list[float], seed: i
         width = branching ** (depth - level)
         same = F.expr(f"(src % {leaves}) div {width} = (dst % {leaves}) div {width}")
         p = F.when(same, F.lit(float(probabilities[min(level, len(probabilities) - 1)]))).otherwise(p)
-    return _graph(n, _all_pairs(n, False).where(uniform(seed, F.col("src"), F.col("dst")) < p), False)
+    top = min(1.0, float(max(probabilities)))
+    return _graph(n, _likely_pairs(n, top, seed).where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < p), False)
 
 
 class NoGraph(ValueError):
@@ -311,5 +353,6 @@ def waxman(n: int, alpha: float, beta: float, seed: int = 0) -> Graph:
     d = p.select(F.col("id").alias("dst"), F.col("x0").alias("dx"), F.col("x1").alias("dy"))
     length = F.sqrt((F.col("sx") - F.col("dx")) * (F.col("sx") - F.col("dx")) + (F.col("sy") - F.col("dy")) * (F.col("sy") - F.col("dy")))
     chance = F.lit(beta) * F.exp(-length / F.lit(alpha * math.sqrt(2)))
-    pairs = _all_pairs(n, False).join(s, "src").join(d, "dst")
-    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) < chance).select("src", "dst"), False)
+    top = min(1.0, float(beta))
+    pairs = _likely_pairs(n, top, seed).join(s, "src").join(d, "dst")
+    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < chance).select("src", "dst"), False)

@@ -242,3 +242,54 @@ def test_mazes(spark):
             local = Local.of(make(r, c, 3))
             assert local.size() == r * c - 1 and len(local.components()) == 1
             assert all(v - u in (1, c) for u, v, _ in local.edges())
+
+
+def test_live_graph_goes_on_after_a_restart(spark, tmp_path):
+    from arcweave.streaming.live import LiveGraph
+
+    schema = "seq long, op string, src long, dst long, label string, w long"
+    inbox, check = str(tmp_path / "in"), str(tmp_path / "check")
+
+    def put(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+
+    def run():
+        live = LiveGraph(Graph.empty())
+        live.start(spark.readStream.schema(schema).parquet(inbox), check).awaitTermination()
+        return live
+
+    put((1, "add_edge", 1, 2, None, 5), (2, "add_edge", 2, 3, None, 6))
+    assert edges(run().graph) == [(1, 2, 5), (2, 3, 6)]
+    put((3, "remove_edge", 1, 2, None, None), (4, "add_edge", 3, 4, None, 7))
+    live = run()
+    assert edges(live.graph) == [(2, 3, 6), (3, 4, 7)] and live.batches == 1
+    assert edges(run().graph) == [(2, 3, 6), (3, 4, 7)]  # nothing new: the graph is what was kept
+    # a batch that runs again starts from the state before it
+    live.apply(spark.createDataFrame([(3, "add_edge", 8, 9, None, 1)], schema), 1)
+    assert edges(live.graph) == [(1, 2, 5), (2, 3, 6), (8, 9, 1)]
+
+
+def test_read_text_refuses_what_is_too_large(spark, tmp_path):
+    from arcweave.operators.local import TooLarge
+    from arcweave.sources.files import read_text
+
+    (tmp_path / "a.txt").write_text("1 2\n2 3\n")
+    assert read_text(str(tmp_path / "a.txt")) == "1 2\n2 3\n"
+    with pytest.raises(TooLarge):
+        read_text(str(tmp_path / "a.txt"), 7)
+
+
+def test_jumps_choose_among_all_pairs(spark):
+    """With probability 1 every pair of its kind is drawn once, so the numbering of pairs leaves none out."""
+    for n, k in ((7, 3), (8, 3), (9, 3), (5, 1), (4, 6)):
+        for directed in (False, True):
+            pairs = {(a, b) for a in range(n) for b in range(n) if (a != b if directed else a < b)}
+            own = {(a, b) for a, b in pairs if a % k == b % k}
+            for p_in, p_out, want in ((1, 0, own), (0, 1, pairs - own)):
+                got = [(r["src"], r["dst"]) for r in rand.sbm(n, k, p_in, p_out, 1, directed).edges.collect()]
+                assert len(got) == len(want) and set(got) == want
+    assert {(r["src"], r["dst"]) for r in rand.erdos_renyi_gnp(6, 1.0, 1, True).edges.collect()} == {(a, b) for a in range(6) for b in range(6) if a != b}
+    assert rand.hsbm(12, 2, 2, [1, 1, 1]).edge_count() == 66 and rand.waxman(12, 1e9, 1.0).edge_count() == 66
+    rows = spark.createDataFrame([(0, 0, 300_000, 0.5), (1, 0, 10**15, 1e-13)], "src long, run int, m long, p double")
+    n = {r["src"]: r["count"] for r in rand.chosen(rows, 3).groupBy("src").count().collect()}
+    assert abs(n[0] - 150_000) < 1500 and 50 < n[1] < 160
