@@ -664,4 +664,4 @@ def edge_ends(spark, sf_dir):
     return g.degrees().where("degree = 0").agg(F.count("*").alias("isolated"))
 
 
-from arcweave import queries_extra  # noqa: E402, F401  registers more
+from arcweave import queries_extra, queries_more  # noqa: E402, F401  register more
