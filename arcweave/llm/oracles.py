@@ -150,10 +150,78 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {"
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
 
 
+def _minhash_sql() -> str:
+    """All pairs of distinct sets that share a shingle, then the smallest doc_id reachable."""
+    return f"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+b AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM a),
+c AS (SELECT s, min(doc_id) AS least, len(s) AS n FROM b WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT least, n, unnest(s) AS x FROM c),
+p AS (SELECT l.least AS u, r.least AS v FROM e l JOIN e r ON l.x = r.x AND l.least < r.least AND least(l.n, r.n) * 100 >= 80 * greatest(l.n, r.n)
+  GROUP BY l.least, r.least, l.n, r.n HAVING 100 * count(*) >= 80 * (l.n + r.n - count(*))),
+g AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+t AS (SELECT least AS node, least AS seen FROM c UNION SELECT t.node, g.v FROM t JOIN g ON t.seen = g.u),
+k AS (SELECT node, min(seen) AS component_id FROM t GROUP BY node)
+SELECT b.doc_id, CAST(len(b.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, b.doc_id) AS component_id, coalesce(k.component_id, b.doc_id) = b.doc_id AS kept
+FROM b LEFT JOIN c ON b.s = c.s LEFT JOIN k ON k.node = c.least"""
+
+
+def _resample_sql() -> str:
+    """CRC-32 byte by byte over the hexadecimal form of each distinct feature."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    runs = lambda n: f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    every = f"flatten([w, {runs(2)}, {runs(3)}])"
+    bit = "list_reduce(range(8), lambda c, j: xor(c >> 1, 3988292384 * (c & 1)), CAST({} AS BIGINT))"
+    byte = "CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT)"
+    crc = f"xor(list_reduce(range(octet_length(encode(x))), lambda c, j: xor(c >> 8, crc_table[xor(c, {byte}) % 256 + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: {bit.format("b")}) AS crc_table),
+d AS (SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+q AS (SELECT {words} AS w FROM benchmark),
+df AS (SELECT row, unnest({every}) AS x FROM d),
+qf AS (SELECT unnest({every}) AS x FROM q),
+fs AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM df UNION SELECT x FROM qf)),
+bk AS (SELECT x, {crc} % 10000 AS bucket FROM fs, tab),
+sc AS (SELECT bucket, count(*) AS n FROM df JOIN bk USING (x) GROUP BY 1),
+tc AS (SELECT bucket, count(*) AS n FROM qf JOIN bk USING (x) GROUP BY 1),
+gains AS (SELECT b.bucket, CAST(floor(1000 * ln((CAST(coalesce(tc.n, 0) AS DOUBLE) + 1) * (SELECT coalesce(sum(n), 0) + 10000.0::DOUBLE FROM sc)
+  / ((CAST(coalesce(sc.n, 0) AS DOUBLE) + 1) * (SELECT coalesce(sum(n), 0) + 10000.0::DOUBLE FROM tc)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN sc USING (bucket) LEFT JOIN tc USING (bucket)),
+ws AS (SELECT row, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN bk USING (x) JOIN gains USING (bucket) GROUP BY row),
+sd AS (SELECT d.row, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN ws USING (row)),
+rk AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM sd WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM rk) THEN place END AS rank FROM sd LEFT JOIN rk USING (row)"""
+
+
+def _collocation_sql() -> str:
+    part = lambda first, last: f"array_to_string(w[{first}:{last}], ' ')"
+    grams = ", ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: {part('i', f'i + {n - 1}')})" for n in (1, 2, 3, 4))
+    return f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ \\x09]+') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(flatten([{grams}])) AS x FROM p) GROUP BY lang, x HAVING count(*) >= 30),
+c AS (SELECT lang, x, f AS a, string_split(x, ' ') AS w FROM f WHERE contains(x, ' ')),
+k AS (SELECT lang, x, a, w, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.lang, k.x, k.k, k.a, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * k.a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.x = {part("1", "k.k")} JOIN f r ON r.lang = k.lang AND r.x = {part("k.k + 1", "len(w)")}),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+i AS (SELECT c.lang, c.a, unnest(flatten(list_transform(range(2, len(w)), lambda n: list_transform(range(1, len(w) - n + 2), lambda j: {part('j', 'j + n - 1')})))) AS x FROM c WHERE len(w) > 2),
+m AS (SELECT lang, x, max(a) AS within FROM i GROUP BY lang, x),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.x) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.x = b.x
+  WHERE within IS NULL OR 100::HUGEINT * within < 80::HUGEINT * a)
+SELECT z.lang, rank, x AS phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000"""
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_url_filter": _url_sql(),
     "op7_warc": _warc_sql(),
     "op8_line_dedup": _line_sql(),
     "op10_mix": _mix_sql(),
+    "op11_minhash": _minhash_sql(),
+    "op12_resample": _resample_sql(),
+    "op13_collocations": _collocation_sql(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import licenses, linededup, mixing, packing, pii, quality, simhash, url_filters, warc, winnowing
+from arcweave.llm import collocations, licenses, linededup, minhash, mixing, packing, pii, quality, resampling, simhash, url_filters, warc, winnowing
 from arcweave.llm.common import table
 
 
@@ -76,10 +76,23 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "before")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, best=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_url_filter, op3_simhash, op4_quality_rules, op5_winnowing,
         op6_pack, op7_warc, op8_line_dedup, op9_pii, op10_mix,
+        op11_minhash, op12_resample, op13_collocations,
     )
 }
