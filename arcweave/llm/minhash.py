@@ -14,10 +14,12 @@ doc_id.
    bucket is its member that meets most others over all bands (the original of
    edited copies, whose edits differ).  Links join components; a bucket whose
    members are all of one component is done.  Elsewhere the members outside the
-   bucket's largest component become hubs in turn, 4, 16, 64, ... a round, and
-   meet the members of other components, until no pair of different components
-   is left that shares a bucket: no link is given up for a group's size, and
-   pairs within a component are never listed.
+   bucket's largest component ask those of other components: ``ASKERS`` of them
+   first, then, in what is still mixed, all.  Two sets of different components
+   share only shingles that other components hold too; these are counted once
+   for each set, and a pair that could not reach the threshold with them alone
+   is left out within the join.  That is exact: no link is given up for a
+   group's size, and pairs within a component are never listed.
 4. A pair must agree on as many minima as a linked pair does but for a chance
    of 1e-11 (signature verification) and is then confirmed on the full sets.
 5. Components are those of the confirmed links by alternating large-star and
@@ -54,8 +56,8 @@ from arcweave.plans.materialize import discard, materialize, stat
 
 #: Minima a band, and bands.
 ROWS, BANDS = 5, 40
-#: Hubs of a bucket in one round grow by four up to this.
-MOST_HUBS = 256
+#: Members of a bucket that ask the others in the second round.
+ASKERS = 64
 #: Shingles whose hashes exist at a time.
 CHUNK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -149,8 +151,8 @@ def _buckets(sets: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, words): the whole hashed sets of ``ids``, taken from the texts again."""
-    wanted = sets.join(ids, "id", "left_semi").select("id", "d", "least")
+    """(id, sig, words): minima and whole hashed sets of ``ids``, the sets taken from the texts again."""
+    wanted = materialize(sets.join(ids, "id", "left_semi").select("id", "d", "least", "sig"), "wanted")
     first = wanted.select("least").distinct()
     read = docs.select("doc_id", "text").join(first, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
 
@@ -160,74 +162,98 @@ def _full_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) ->
 
     taken = map_rows(read.select("text"), "d binary, words binary", rows)
     # ids may repeat with other texts, and rows may repeat: one set for each digest that is wanted
-    return materialize(taken.join(wanted.select("id", "d"), "d").groupBy("id").agg(F.first("words").alias("words")), "full")
-
-
-def _compared(pairs: DataFrame, values: DataFrame, column: str, holds) -> DataFrame:
-    """The pairs (a, b) whose ``column`` values in ``values`` (id, ...) satisfy ``holds``."""
-    left, right = (values.select(F.col("id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-
-    def work(batches):
-        for batch in slices(batches):
-            x, y = texts(batch.column(2)), texts(batch.column(3))
-            keep = pa.array([holds(p, q) for p, q in zip(x, y, strict=True)], type=pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    once = taken.join(wanted.select("d"), "d", "left_semi").groupBy("d").agg(F.first("words").alias("words"))
+    out = materialize(once.join(wanted, "d").select("id", "sig", "words"), "full")
+    discard(wanted)
+    return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that share at least ``percent`` of their union."""
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose minima agree often enough and whose sets share at least ``percent`` of their union."""
     share, k = percent / 100, ROWS * BANDS
     least = k * share - 7 * math.sqrt(k * share * (1 - share))
 
-    def agree(x: bytes, y: bytes) -> bool:
-        return np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) >= least
-
-    def linked(x: bytes, y: bytes) -> bool:
+    def linked(sig: bytes, other: bytes, x: bytes, y: bytes) -> bool:
+        if np.count_nonzero(np.frombuffer(sig, np.uint32) == np.frombuffer(other, np.uint32)) < least:
+            return False
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(p, q, assume_unique=True))
         return 100 * both >= percent * (len(p) + len(q) - both)
 
-    likely = materialize(_compared(pairs, sets, "sig", agree), "likely")
-    out = materialize(_compared(likely, full, "words", linked), "confirmed", n=F.count("*"))
-    discard(likely)
+    def work(batches):
+        for batch in slices(batches):
+            keep = [linked(*four) for four in zip(*(texts(batch.column(i)) for i in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+
+    left, right = (full.select(F.col("id").alias(i), F.col("sig").alias(s), F.col("words").alias(w)) for i, s, w in (("a", "s", "x"), ("b", "t", "y")))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y")
+    return materialize(both.mapInArrow(work, "a long, b long"), "confirmed", n=F.count("*"))
+
+
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of ``members`` (key, id, ...) in buckets of several components, with their ``comp`` and the bucket's largest, ``main``."""
+    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    placed = materialize(placed, "placed")
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    several = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
+    out = materialize(placed.join(several.select("key", F.col("top.comp").alias("main")), "key"), "unsettled", n=F.count("*"))
+    discard(placed)
     return out
 
 
-def _hubs(todo: DataFrame, most: int) -> DataFrame:
-    """(key, id, n, comp): up to ``most`` members of each bucket, those that meet most others first."""
-    w = Window.partitionBy("key").orderBy(F.desc("met"), "id")
-    return todo.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("key", "id", "n", "comp")
+def _outward(todo: DataFrame, full: DataFrame) -> DataFrame:
+    """(id, p): how many of a set's shingles some set of another component of ``todo`` holds too."""
+
+    def work(batches):
+        for batch in slices(batches):
+            held = [np.frombuffer(w, np.int64) for w in texts(batch.column(2))]
+            if held:
+                sizes = [len(h) for h in held]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1)] + [pa.array(np.concatenate(held))], names=["id", "comp", "shingle"]
+                )
+
+    sets = full.select("id", "words").join(todo.select("id", "comp").distinct(), "id").select("id", "comp", "words")
+    spread = sets.mapInArrow(work, "id long, comp long, shingle long")
+    several = spread.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
+    return spread.join(several, "shingle").groupBy("id").agg(F.count("*").alias("p"))
 
 
 def near_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of every id of ``sets`` (id, d, least, n, sig) that has a link."""
-    todo = _buckets(sets).withColumn("comp", F.col("id"))
-    full = _full_sets(docs, sets, todo.select("id").distinct(), width)
-    links, most, asked, comps, left = None, 1, todo, None, True
-    while left:
-        hubs = materialize(_hubs(asked, most), "hubs")
-        h = hubs.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        near = (F.col("comp") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = todo.join(h, "key").where(near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = confirmed(pairs, sets, full, percent)
-        links = found if links is None else links.union(found)
-        if stat(found, "n") or comps is None:
-            discard(comps)
+    members = _buckets(sets)
+    full = _full_sets(docs, sets, members.select("id").distinct(), width)
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    ends = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    hubs = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("i"), "n")).alias("x"))
+    todo = members.join(hubs.select("key", (-F.col("x.i")).alias("hub"), F.col("x.n").alias("m")), "key").where("id <> hub")
+    todo = materialize(todo, "hubs")
+    links = confirmed(todo.where(sizes).select(*ends).distinct(), full, percent)
+    comps = materialize(component_links(links, "a", "b"), "comps")
+    old, todo = todo, _unsettled(todo.select("key", "id", "n"), comps)
+    discard(old, members)
+    if stat(todo, "n"):
+        outward = _outward(todo, full)
+        full = materialize(full.join(todo.select("id").distinct(), "id", "left_semi"), "full")
+        todo = materialize(todo.join(outward, "id", "left").withColumn("p", F.coalesce("p", F.lit(0))), "todo", n=F.count("*"))
+    for most in (ASKERS, None):
+        if not stat(todo, "n"):
+            break
+        asking = todo.where("comp <> main")
+        if most:
+            w = Window.partitionBy("key").orderBy(F.desc("p"), "id")
+            asking = asking.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+        asking = materialize(asking.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("other")), "asking")
+        # what two sets share lies in both of their outward parts
+        able = (100 + percent) * F.least("p", "q") >= percent * (F.col("n") + F.col("m"))
+        pairs = todo.join(asking, "key").where((F.col("comp") != F.col("other")) & sizes & able).select(*ends).distinct()
+        found = confirmed(pairs, full, percent)
+        links = links.union(found)
+        if stat(found, "n"):
             comps = materialize(component_links(links, "a", "b"), "comps")
-        # hubs have met all members of their bucket; what is left is done where one component is left
-        rest = todo.join(hubs.select("key", "id"), ["key", "id"], "left_anti").drop("comp")
-        rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        rest = materialize(rest, "rest")
-        counts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
-        old, todo = todo, materialize(rest.join(mixed.select("key", F.col("top.comp").alias("main")), "key"), "todo", n=F.count("*"))
-        discard(old, rest, hubs)
-        left = stat(todo, "n")
-        # the largest component of a bucket need not ask: all others do
-        asked, todo = todo.where("comp <> main").drop("main"), todo.drop("main")
-        most = min(most * 4, MOST_HUBS)
+        if most:
+            rest = todo.join(asking.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").drop("comp", "main")
+            todo = _unsettled(rest, comps)
     return comps
 
 
