@@ -32,7 +32,6 @@ are decimals where they may pass 64 bits.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +53,17 @@ HELD = 1 << 17
 SPREAD = 512
 #: Keys over which the best of one language are first chosen.
 SALTS = 64
-#: Places whose fragments are found at a time.
-PLACES = 1 << 16
-_TEXT = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
+#: Ends of pieces; no word holds them. Texts are split with all of them as one kind.
+_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _ENDS else c for c in range(256))
+_PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in _ENDS else c for c in range(256))
+#: Stands between pieces in a list of words.
+END = b"."
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """The words of each piece of a text."""
-    return [p.split() for p in text.translate(_TEXT).split(b"\n")]
+def marked_words(text: bytes) -> list[bytes]:
+    """The words of a text, with ``END`` where a piece ends."""
+    return text.translate(_PIECES).replace(b"\n", b" . ").split()
 
 
 def _langs(column: pa.Array) -> list[str]:
@@ -71,23 +73,20 @@ def _langs(column: pa.Array) -> list[str]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, phrase, f): how often each word of each language stands in ``docs`` (lang, text)."""
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())],
-            names=["lang", "phrase", "c"],
-        )
+    def flush(held: dict[str, Counter]):
+        for lang, counts in held.items():
+            words = pa.array(list(counts), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(counts.values(), pa.int64())], names=["lang", "phrase", "c"])
+        held.clear()
 
     def work(batches):
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
         for batch in slices(batches):
             for lang, t in zip(_langs(batch.column(0)), texts(batch.column(1)), strict=True):
-                for p in pieces(t):
-                    held.update(zip(repeat(lang), p))
-                if len(held) >= HELD:
-                    yield flush(held)
-                    held.clear()
-        yield flush(held)
+                held.setdefault(lang, Counter()).update(t.translate(_WORDS).split())
+            if sum(map(len, held.values())) >= HELD:
+                yield from flush(held)
+        yield from flush(held)
 
     counts = docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, c long")
     return counts.groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
@@ -123,7 +122,7 @@ class _Order(dict):
         if len(self) >= HELD:
             self.clear()
         h = _slot(self.lang, word)
-        f = int(self.slots[h % SLOTS])
+        f = 0 if word == END else int(self.slots[h % SLOTS])
         self[word] = out = (min(f, (1 << 38) - 1) << 24 | (h >> 40) | 1) if f else 0
         return out
 
@@ -144,67 +143,60 @@ def _reach(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fragments(docs: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
-    """(lang, pivot, hot, at, words, c): the fragments of ``docs`` (lang, text) by the hash of their pivot, which stands at ``at``."""
+    """(lang, pivot, hot, at, words, c): the fragments of ``docs`` (lang, text) by their pivot's key; it stands at ``at``."""
     names = ["lang", "pivot", "hot", "at", "words", "c"]
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        keys = list(held)
-        pivots, hot = [], []
-        for lang, at, words in keys:
-            w = words.split(b" ")[at]
-            h = _slot(lang, w)
-            spread = min(SPREAD, 1 + int(slots[h % SLOTS]) * SPREAD // max(1, total))
-            pivots.append((h + (xxhash.xxh32_intdigest(words) % spread) * 0x9E3779B97F4A7C15) % (1 << 63))
-            hot.append(spread > 1)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k for k, _, _ in keys], pa.string()), pa.array(pivots, pa.int64()), pa.array(hot), pa.array([a for _, a, _ in keys], pa.int32()),
-                pa.array([w for _, _, w in keys], pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64()),
-            ],
-            names=names,
-        )
-
     def work(batches):
-        held: Counter = Counter()
+        held: dict[tuple[str, int], Counter] = {}
         orders: dict[str, _Order] = {}
 
-        def cut(lang: str, words: list[bytes], o: list[int]) -> None:
-            left, right = _reach(np.array(o, dtype=np.int64))
-            at = np.flatnonzero(left + right)
-            lo, hi = (at - left[at]).tolist(), (at + right[at] + 1).tolist()
-            held.update((lang, k, b" ".join(words[i:j])) for k, i, j in zip(left[at].tolist(), lo, hi, strict=True))
+        def flush():
+            for (lang, at), counts in held.items():
+                keys = list(counts)
+                place = orders[lang].__getitem__
+                o = np.fromiter((place(k.split(b" ")[at]) for k in keys), dtype=np.int64, count=len(keys))
+                # words of one order share a key, which is as good
+                spread = np.minimum(SPREAD, 1 + (o >> 24) * SPREAD // max(1, total))
+                for i in np.flatnonzero(spread > 1).tolist():
+                    o[i] += xxhash.xxh32_intdigest(keys[i]) % int(spread[i]) << 40
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(keys), pa.string()), pa.array(o), pa.array(spread > 1), pa.array(np.full(len(keys), at, np.int32)),
+                        pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64()),
+                    ],
+                    names=names,
+                )
+            held.clear()
+            if len(orders) >= SALTS:
+                orders.clear()
 
         for batch in slices(batches):
             for lang, t in zip(_langs(batch.column(0)), texts(batch.column(1)), strict=True):
                 if lang not in orders:
-                    if len(orders) >= SALTS:
-                        orders.clear()
                     orders[lang] = _Order(lang, slots)
-                place = orders[lang].__getitem__
-                words, o = [], []
-                for p in pieces(t):
-                    if len(p) > 1:
-                        words += p
-                        words.append(b"")
-                        o += map(place, p)
-                        o.append(0)
-                    if len(words) >= PLACES:  # pieces are whole, so nothing is lost between two cuts
-                        cut(lang, words, o)
-                        words, o = [], []
-                if words:
-                    cut(lang, words, o)
-                if len(held) >= HELD:
-                    yield flush(held)
-                    held.clear()
-        if held:
-            yield flush(held)
+                words = marked_words(t)
+                left, right = _reach(np.fromiter(map(orders[lang].__getitem__, words), dtype=np.int64, count=len(words)))
+                for k in range(LONGEST):
+                    at = np.flatnonzero((left == k) & (right > 0)) if not k else np.flatnonzero(left == k)
+                    if len(at):
+                        cut = [b" ".join(words[i:j]) for i, j in zip((at - k).tolist(), (at + right[at] + 1).tolist(), strict=True)]
+                        held.setdefault((lang, k), Counter()).update(cut)
+            if sum(map(len, held.values())) >= HELD:
+                yield from flush()
+        yield from flush()
 
     return docs.select("lang", "text").mapInArrow(work, "lang string, pivot long, hot boolean, at int, words string, c long")
 
 
-#: The phrases of a fragment that hold its pivot; one start and one end each.
-_PHRASES = f"""flatten(transform(sequence(0, least(at, size(w) - 2)), s -> transform(
-  sequence(greatest(at, s + 1), least(s + {LONGEST - 1}, size(w) - 1)), e -> array_join(slice(w, s + 1, e - s + 1), ' '))))"""
+def _phrases() -> Column:
+    """The phrases of a fragment's words ``w`` that hold its pivot at ``at``; one start and one end each."""
+    found = []
+    for before in range(LONGEST):
+        for after in range(LONGEST - before):
+            if before + after:
+                cut = F.expr(f"array_join(slice(w, at - {before - 1}, {before + after + 1}), ' ')")
+                found.append(F.when((F.col("at") >= before) & (F.col("at") + after < F.size("w")), cut))
+    return F.array_compact(F.array(*found))
 
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
@@ -212,7 +204,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int) -> DataFrame
     frequent = words.where(F.col("f") >= least)
     total = int(words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()["n"])
     dealt = fragments(docs, word_slots(frequent), total).repartition("lang", "pivot")
-    spread = dealt.withColumn("w", F.split("words", " ", -1)).select("lang", "pivot", "hot", F.explode(F.expr(_PHRASES)).alias("phrase"), "c")
+    spread = dealt.withColumn("w", F.split("words", " ", -1)).select("lang", "pivot", "hot", F.explode(_phrases()).alias("phrase"), "c")
     mined = spread.groupBy("lang", "pivot", "hot", "phrase").agg(F.sum("c").alias("f")).where(F.col("hot") | (F.col("f") >= least))
     more = mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return frequent.select("lang", "phrase", "f").union(more)
