@@ -92,8 +92,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
 
 
-def _slot(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang))
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang)
 
 
 def word_slots(frequent: DataFrame) -> np.ndarray:
@@ -101,7 +101,7 @@ def word_slots(frequent: DataFrame) -> np.ndarray:
 
     def work(batches):
         for batch in slices(batches):
-            slots = [_slot(k, w) % SLOTS for k, w in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
+            slots = [xxhash.xxh64_intdigest(w, _seed(k)) % SLOTS for k, w in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), batch.column(2)], names=["slot", "f"])
 
     most = frequent.select("lang", "phrase", "f").mapInArrow(work, "slot long, f long").groupBy("slot").agg(F.max("f").alias("f"))
@@ -114,15 +114,15 @@ def word_slots(frequent: DataFrame) -> np.ndarray:
 class _Order(dict):
     """Words of one language to their place in the order, 0 where no phrase can hold them; forgets all when full."""
 
-    def __init__(self, lang: str, slots: np.ndarray):
+    def __init__(self, lang: str, slots: memoryview):
         super().__init__()
-        self.lang, self.slots = lang, slots
+        self.seed, self.slots = _seed(lang), slots
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
             self.clear()
-        h = _slot(self.lang, word)
-        f = 0 if word == END else int(self.slots[h % SLOTS])
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        f = 0 if word == END else self.slots[h % SLOTS]
         self[word] = out = (min(f, (1 << 38) - 1) << 24 | (h >> 40) | 1) if f else 0
         return out
 
@@ -143,59 +143,65 @@ def _reach(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fragments(docs: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
-    """(lang, pivot, hot, at, words, c): the fragments of ``docs`` (lang, text) by their pivot's key; it stands at ``at``."""
-    names = ["lang", "pivot", "hot", "at", "words", "c"]
+    """(lang, pivot, hot, at, more, words, c): the fragments of ``docs`` (lang, text) by their pivot's key, with the numbers of words before and after it."""
+    names = ["lang", "pivot", "hot", "at", "more", "words", "c"]
 
     def work(batches):
-        held: dict[tuple[str, int], Counter] = {}
+        counts = memoryview(slots)
         orders: dict[str, _Order] = {}
-
-        def flush():
-            for (lang, at), counts in held.items():
-                keys = list(counts)
-                place = orders[lang].__getitem__
-                o = np.fromiter((place(k.split(b" ")[at]) for k in keys), dtype=np.int64, count=len(keys))
-                # words of one order share a key, which is as good
-                spread = np.minimum(SPREAD, 1 + (o >> 24) * SPREAD // max(1, total))
-                for i in np.flatnonzero(spread > 1).tolist():
-                    o[i] += xxhash.xxh32_intdigest(keys[i]) % int(spread[i]) << 40
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(keys), pa.string()), pa.array(o), pa.array(spread > 1), pa.array(np.full(len(keys), at, np.int32)),
-                        pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64()),
-                    ],
-                    names=names,
-                )
+        held: dict[tuple[str, int, int, int], Counter] = {}
+
+        def rows(lang, pivot, hot, at, more, words, c):
+            n = len(words)
+            wide = lambda x, kind: pa.array(np.full(n, x, kind) if np.isscalar(x) else x.astype(kind))
+            text = pa.array(words, pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), wide(pivot, np.int64), wide(hot, np.bool_), wide(at, np.int32), wide(more, np.int32), text, wide(c, np.int64)], names=names)
+
+        def spread_out():
+            # the commonest pivots: their fragments repeat, and go to as many keys as their share asks for
+            for (lang, o, left, right), found in held.items():
+                keys = list(found)
+                salts = np.fromiter(map(xxhash.xxh32_intdigest, keys), np.int64, len(keys)) % min(SPREAD, 1 + (o >> 24) * SPREAD // max(1, total))
+                yield rows(lang, o + (salts << 40), True, left, right, keys, np.fromiter(found.values(), np.int64, len(keys)))
             held.clear()
-            if len(orders) >= SALTS:
-                orders.clear()
 
         for batch in slices(batches):
+            found: dict[str, list[bytes]] = {}
             for lang, t in zip(_langs(batch.column(0)), texts(batch.column(1)), strict=True):
+                words = found.setdefault(lang, [])
+                words += marked_words(t)
+                words.append(END)
+            for lang, words in found.items():
                 if lang not in orders:
-                    orders[lang] = _Order(lang, slots)
-                words = marked_words(t)
-                left, right = _reach(np.fromiter(map(orders[lang].__getitem__, words), dtype=np.int64, count=len(words)))
-                for k in range(LONGEST):
-                    at = np.flatnonzero((left == k) & (right > 0)) if not k else np.flatnonzero(left == k)
-                    if len(at):
-                        cut = [b" ".join(words[i:j]) for i, j in zip((at - k).tolist(), (at + right[at] + 1).tolist(), strict=True)]
-                        held.setdefault((lang, k), Counter()).update(cut)
+                    if len(orders) >= SALTS:
+                        orders.clear()
+                    orders[lang] = _Order(lang, counts)
+                o = np.fromiter(map(orders[lang].__getitem__, words), np.int64, len(words))
+                left, right = _reach(o)
+                at = np.flatnonzero(left + right)
+                cut = [b" ".join(words[i:j]) for i, j in zip((at - left[at]).tolist(), (at + right[at] + 1).tolist(), strict=True)]
+                hot = (o[at] >> 24) * SPREAD >= total
+                for i in np.flatnonzero(hot).tolist():
+                    k = int(at[i])
+                    held.setdefault((lang, int(o[k]), int(left[k]), int(right[k])), Counter())[cut[i]] += 1
+                cool = np.flatnonzero(~hot)
+                k = at[cool]
+                yield rows(lang, o[k], False, left[k], right[k], [cut[i] for i in cool.tolist()], 1)
             if sum(map(len, held.values())) >= HELD:
-                yield from flush()
-        yield from flush()
+                yield from spread_out()
+        yield from spread_out()
 
-    return docs.select("lang", "text").mapInArrow(work, "lang string, pivot long, hot boolean, at int, words string, c long")
+    return docs.select("lang", "text").mapInArrow(work, "lang string, pivot long, hot boolean, at int, more int, words string, c long")
 
 
 def _phrases() -> Column:
-    """The phrases of a fragment's words ``w`` that hold its pivot at ``at``; one start and one end each."""
+    """The phrases of a fragment ``words`` that hold its pivot, which has ``at`` words before it and ``more`` after; one start and one end each."""
     found = []
     for before in range(LONGEST):
         for after in range(LONGEST - before):
             if before + after:
-                cut = F.expr(f"array_join(slice(w, at - {before - 1}, {before + after + 1}), ' ')")
-                found.append(F.when((F.col("at") >= before) & (F.col("at") + after < F.size("w")), cut))
+                cut = F.expr(f"substring_index(substring_index(words, ' ', at + {after + 1}), ' ', -{before + after + 1})")
+                found.append(F.when((F.col("at") >= before) & (F.col("more") >= after), cut))
     return F.array_compact(F.array(*found))
 
 
@@ -204,7 +210,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int) -> DataFrame
     frequent = words.where(F.col("f") >= least)
     total = int(words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()["n"])
     dealt = fragments(docs, word_slots(frequent), total).repartition("lang", "pivot")
-    spread = dealt.withColumn("w", F.split("words", " ", -1)).select("lang", "pivot", "hot", F.explode(_phrases()).alias("phrase"), "c")
+    spread = dealt.select("lang", "pivot", "hot", F.explode(_phrases()).alias("phrase"), "c")
     mined = spread.groupBy("lang", "pivot", "hot", "phrase").agg(F.sum("c").alias("f")).where(F.col("hot") | (F.col("f") >= least))
     more = mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return frequent.select("lang", "phrase", "f").union(more)
