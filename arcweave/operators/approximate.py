@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from arcweave.model import Graph, canonical
 from arcweave.operators import kernels
-from arcweave.operators.centrality import per_source
 from arcweave.operators.local import MAX_EDGES, Local
+from arcweave.operators.paths import distances_from
 from arcweave.operators.planarity import tree_decomposition, treewidth_upper_bound  # noqa: F401
+from arcweave.operators.shortest_counts import dependencies
 from arcweave.operators.transform import transpose
 from arcweave.plans.materialize import materialize, stat
 
@@ -22,19 +23,13 @@ def pivots(g: Graph, k: int, seed: int = 0) -> DataFrame:
     return g.nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
 
 
-def diameter(g: Graph, samples: int = 4, seed: int = 0, max_edges: int = MAX_EDGES) -> float | None:
-    """A lower bound: ``samples`` double sweeps; None if the graph is empty."""
-    local, r = Local.of(g, max_edges), random.Random(seed)
-    if not local.nodes:
-        return None
-    best = 0.0
-    for _ in range(samples):
-        s = r.choice(local.nodes)
-        for _ in range(2):
-            dist, _ = kernels.dijkstra(local.out, s)
-            s = max(dist, key=lambda n: (dist[n], -n))
-            best = max(best, float(dist[s]))
-    return best
+def diameter(g: Graph, samples: int = 4, seed: int = 0) -> float | None:
+    """A lower bound: from each of ``samples`` nodes to the farthest, and from there again; None if the graph is empty."""
+    farthest = lambda ids: distances_from(g, ids).groupBy("src").agg(F.max(F.struct("dist", (-F.col("dst")).alias("node"))).alias("x"))
+    first = materialize(farthest(pivots(g, samples, seed)).select((-F.col("x.node")).alias("id"), F.col("x.dist").alias("d")), "sweep")
+    second = farthest(first.select("id").distinct()).select(F.col("x.dist").alias("d"))
+    row = first.select("d").union(second).agg(F.max(F.col("d").cast("double")).alias("m")).first()
+    return row["m"]
 
 
 diameter_unweighted = diameter
@@ -44,17 +39,16 @@ def betweenness(g: Graph, samples: int | None = None, seed: int = 0, weighted: b
     """Dependencies of sampled sources, scaled to all."""
     n = g.order()
     k = max(1, min(n, samples or math.isqrt(n)))
-    found = per_source(g, lambda local, s: kernels.brandes(local, s, weighted).items(), "id long, part double", pivots(g, k, seed))
+    sums = dependencies(g, pivots(g, k, seed), weighted)
     scale = (n / k) * (1.0 if g.directed else 0.5)
-    sums = found.groupBy("id").agg(F.sum("part").alias("part"))
     return g.nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
 
 
 def _to_pivots(g: Graph, samples: int | None, seed: int) -> tuple[DataFrame, int, int]:
     n = g.order()
     k = max(1, min(n, samples or math.isqrt(n)))
-    rows = per_source(transpose(g), lambda local, s: [(s, v, float(d)) for v, d in kernels.dijkstra(local.out, s)[0].items()], "pivot long, id long, dist double", pivots(g, k, seed))
-    return rows, n, k
+    rows = distances_from(transpose(g), pivots(g, k, seed))
+    return rows.select(F.col("src").alias("pivot"), F.col("dst").alias("id"), F.col("dist").cast("double").alias("dist")), n, k
 
 
 def closeness(g: Graph, samples: int | None = None, seed: int = 0) -> DataFrame:

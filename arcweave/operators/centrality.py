@@ -1,9 +1,9 @@
 """Centrality scores: (id, score) for every node.
 
 Power iterations are joins with arcs that already carry their source's
-out-degree and a partial aggregate per round.  Shortest-path centralities run
-one task per block of sources over a broadcast graph whose size is checked,
-with a relational way for distances beyond it.
+out-degree and a partial aggregate per round.  Shortest-path centralities go
+by blocks of sources over relational distances and path counts
+(``shortest_counts``).
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.model import Graph
-from arcweave.operators import kernels
 from arcweave.operators.local import MAX_EDGES, Local
-from arcweave.operators.paths import distances_from
+from arcweave.operators.shortest_counts import dependencies, distance_sums
 from arcweave.plans.materialize import materialize, stat
 
 
@@ -69,13 +68,8 @@ def per_source(g: Graph, kernel, schema: str, sources: DataFrame | None = None,
 def closeness(g: Graph) -> DataFrame:
     """(n - 1) / sum of distances; 0 unless every node is reached."""
     n = g.order()
-
-    def kernel(local, s):
-        dist, _ = kernels.dijkstra(local.out, s)
-        total = sum(dist.values())
-        yield s, (n - 1) / total if len(dist) == n and total and n > 1 else 0.0
-
-    return per_source(g, kernel, "id long, score double")
+    whole = (F.col("reached") == n) & (F.col("total") > 0) & F.lit(n > 1)
+    return distance_sums(g).select("id", F.when(whole, (n - 1) / F.col("total")).otherwise(0.0).alias("score"))
 
 
 closeness_int = closeness_float = closeness
@@ -84,31 +78,15 @@ closeness_int = closeness_float = closeness
 def harmonic_centrality(g: Graph) -> DataFrame:
     """Sum of 1 / distance over n - 1."""
     n = g.order()
+    return distance_sums(g).select("id", (F.col("inverse") / max(1, n - 1)).alias("score"))
 
-    def kernel(local, s):
-        dist, _ = kernels.dijkstra(local.out, s)
-        yield s, math.fsum(1 / d for d in dist.values() if d > 0) / (n - 1) if n > 1 else 0.0
-
-    return per_source(g, kernel, "id long, score double")
 
-
-harmonic_centrality_int = harmonic_centrality_float = harmonic_centrality
-
-
-def harmonic_relational(g: Graph) -> DataFrame:
-    """As :func:`harmonic_centrality`, from relational distances; for graphs beyond the broadcast bound."""
-    n = g.order()
-    dist = distances_from(g, g.nodes.select("id")).where("dist > 0").groupBy(F.col("src").alias("id")).agg(F.sum(1 / F.col("dist")).alias("s"))
-    return g.nodes.select("id").join(dist, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) / max(1, n - 1)).alias("score"))
+harmonic_centrality_int = harmonic_centrality_float = harmonic_relational = harmonic_centrality
 
 
 def betweenness(g: Graph, weighted: bool = True) -> DataFrame:
-    """Sums over sources of shortest-path dependencies; halved if undirected."""
-
-    def kernel(local, s):
-        yield from kernels.brandes(local, s, weighted).items()
-
-    found = per_source(g, kernel, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
+    """Sums over sources of shortest-path dependencies; halved if undirected. Weights must be above 0."""
+    found = dependencies(g, weighted=weighted)
     share = 1.0 if g.directed else 0.5
     return g.nodes.select("id").join(found, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * share).alias("score"))
 

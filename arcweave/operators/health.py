@@ -12,18 +12,14 @@ from arcweave.operators import kernels
 from arcweave.operators.centrality import per_source
 from arcweave.operators.local import Local
 from arcweave.operators.paths import single_source_distances
+from arcweave.operators.shortest_counts import distance_sums
 from arcweave.operators.transform import subgraph
 
 
 def eccentricities(g: Graph) -> DataFrame:
     """(id, ecc): the largest distance from each node, null unless all are reached."""
     n = g.order()
-
-    def kernel(local, s):
-        dist, _ = kernels.dijkstra(local.out, s)
-        yield s, float(max(dist.values())) if len(dist) == n else None
-
-    return per_source(g, kernel, "id long, ecc double")
+    return distance_sums(g).select("id", F.when(F.col("reached") == n, F.col("farthest")).alias("ecc"))
 
 
 def eccentricity(g: Graph, node: int) -> float | None:
@@ -70,11 +66,7 @@ def average_path_length(g: Graph) -> float | None:
     if n <= 1:
         return None
 
-    def kernel(local, s):
-        dist, _ = kernels.dijkstra(local.out, s)
-        yield len(dist), float(sum(dist.values()))
-
-    row = per_source(g, kernel, "n long, s double").agg(F.min("n").alias("n"), F.sum("s").alias("s")).first()
+    row = distance_sums(g).agg(F.min("reached").alias("n"), F.sum("total").alias("s")).first()
     return row["s"] / (n * (n - 1)) if row["n"] == n else None
 
 
@@ -82,8 +74,8 @@ def efficiency(g: Graph, u: int, v: int) -> float:
     """1 / distance; 0 for the same node, unreachable ones, or distance 0."""
     if u == v:
         return 0.0
-    found = kernels.shortest_path(Local.of(g).out, u, v)
-    return 1 / found[1] if found and found[1] else 0.0
+    found = single_source_distances(g, u).where(F.col("id") == v).first()
+    return 1 / found["dist"] if found and found["dist"] else 0.0
 
 
 def _efficiency_of(local: Local) -> float:
@@ -97,12 +89,7 @@ def global_efficiency(g: Graph) -> float:
     n = g.order()
     if n < 2:
         return 0.0
-
-    def kernel(local, s):
-        dist, _ = kernels.dijkstra(local.out, s)
-        yield (math.fsum(1 / d for d in dist.values() if d > 0),)
-
-    return (per_source(g, kernel, "e double").agg(F.sum("e").alias("e")).first()["e"] or 0.0) / (n * (n - 1))
+    return (distance_sums(g).agg(F.sum("inverse").alias("e")).first()["e"] or 0.0) / (n * (n - 1))
 
 
 def local_efficiency(g: Graph, node: int) -> float:

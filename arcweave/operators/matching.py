@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from arcweave.model import Graph
 from arcweave.operators import kernels
 from arcweave.operators.components import component_links
-from arcweave.operators.local import MAX_EDGES, Local, by_component
+from arcweave.operators.local import MAX_EDGES, Local
+from arcweave.operators.matching_rounds import MatchingRows, bipartite_rows
+from arcweave.operators.transform import TooLarge
 from arcweave.plans.materialize import materialize
 
 
@@ -50,28 +52,33 @@ def _sides(local: Local) -> dict:
     return side
 
 
-def hopcroft_karp(g: Graph, max_edges: int = MAX_EDGES) -> dict[int, int]:
-    """A largest matching of a bipartite graph as a symmetric map."""
-    local = Local.of(g, max_edges)
-    return kernels.hopcroft_karp(local, _sides(local))
+def matching_rows(g: Graph) -> MatchingRows:
+    """A largest matching of a bipartite graph as rows, with its cover as proof; raises :class:`NotBipartite`."""
+    sides = partition(g)
+    if sides is None:
+        raise NotBipartite("the graph is not bipartite")
+    left = materialize(sides.where("side = 0").select(F.col("id").alias("src"), F.lit(True).alias("first")), "left")
+    ends = g.edges.select("src", "dst").join(left, "src", "left")
+    forward = F.coalesce("first", F.lit(False))
+    return bipartite_rows(ends.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("l"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("r")))
 
 
 def maximum_matching(g: Graph, max_edges: int = MAX_EDGES) -> list[tuple[int, int]]:
-    """(left, right) pairs of a largest matching."""
-    local = Local.of(g, max_edges)
-    side = _sides(local)
-    mate = kernels.hopcroft_karp(local, side)
-    return sorted((u, v) for u, v in mate.items() if side[u] == 0)
+    """(left, right) pairs of a largest matching, ascending; raises :class:`TooLarge` beyond ``max_edges`` of them."""
+    found = matching_rows(g)
+    if found.size > max_edges:
+        raise TooLarge(f"a matching of more than {max_edges} pairs is not listed on the driver")
+    return sorted((r["l"], r["r"]) for r in found.pairs.collect())
 
 
-def matching_by_component(g: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(left, right) of a largest matching, a task for each component."""
+def hopcroft_karp(g: Graph, max_edges: int = MAX_EDGES) -> dict[int, int]:
+    """A largest matching of a bipartite graph as a symmetric map."""
+    return {a: b for pair in maximum_matching(g, max_edges) for a, b in (pair, pair[::-1])}
 
-    def kernel(local):
-        side = _sides(local)
-        return sorted((u, v) for u, v in kernels.hopcroft_karp(local, side).items() if side[u] == 0)
 
-    return by_component(g, kernel, "left long, right long", max_edges)
+def matching_by_component(g: Graph) -> DataFrame:
+    """(left, right) of a largest matching."""
+    return matching_rows(g).pairs.select(F.col("l").alias("left"), F.col("r").alias("right"))
 
 
 def hungarian(g: Graph, optimization: str = "min", max_edges: int = MAX_EDGES) -> tuple[object, dict[int, int]]:

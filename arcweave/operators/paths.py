@@ -2,8 +2,8 @@
 
 Distances from one or many sources are relational relaxation rounds: only
 improved rows spread, each round is a join with the arcs and a partial
-aggregate.  Point-to-point paths with tie rules, deviations and heuristics are
-kernels behind a size guard.
+aggregate.  Paths are rows of ``path_tables``.  Searches from both ends,
+deviations and heuristics are kernels behind a size guard.
 """
 
 from __future__ import annotations
@@ -72,19 +72,26 @@ def single_source_distances(g: Graph, source: int, semiring: Semiring = MIN_PLUS
 single_source_distances_int = single_source_distances_float = single_source_distances
 
 
-def shortest_path(g: Graph, start: int, goal: int, max_edges: int = MAX_EDGES) -> Path | None:
-    """A least-weight path for non-negative weights; start = goal is a path even if absent."""
-    found = kernels.shortest_path(Local.of(g, max_edges).out, start, goal)
-    return None if found is None else Path(*found)
+def _one_path(g: Graph, start: int, goal: int, semiring: Semiring) -> Path | None:
+    """The path of :func:`path_tables.shortest_path_rows` from ``start`` to ``goal``; only its own nodes come to the driver."""
+    from arcweave.operators.path_tables import shortest_path_rows
+
+    pair = node_frame([(start, None)]).select(F.col("id").alias("src"), F.lit(goal).cast("long").alias("dst"))
+    rows = sorted(shortest_path_rows(g, pair, semiring).select("position", "node", "dist").collect())
+    return Path([r["node"] for r in rows], rows[-1]["dist"]) if rows else None
+
+
+def shortest_path(g: Graph, start: int, goal: int) -> Path | None:
+    """A least-weight path: fewest hops among those, then smaller parents; start = goal is a path even if absent."""
+    return Path([start], 0) if start == goal else _one_path(g, start, goal, MIN_PLUS)
 
 
 shortest_path_int = shortest_path_float = shortest_path
 
 
-def widest_path(g: Graph, start: int, goal: int, max_edges: int = MAX_EDGES) -> Path | None:
-    """A path whose least weight is largest."""
-    found = kernels.shortest_path(Local.of(g, max_edges).out, start, goal, zero=float("inf"), extend=min, rank=lambda d: -d)
-    return None if found is None else Path(*found)
+def widest_path(g: Graph, start: int, goal: int) -> Path | None:
+    """A path whose least weight is largest, and so are those of its beginnings."""
+    return Path([start], float("inf")) if start == goal else _one_path(g, start, goal, MAX_MIN)
 
 
 widest_path_int = widest_path
@@ -150,14 +157,13 @@ def implicit_a_star(start, successors, is_goal, heuristic):
     return implicit_a_star_by(start, successors, is_goal, heuristic, lambda s: s)
 
 
-def bellman_ford(g: Graph, start: int, goal: int, max_edges: int = MAX_EDGES) -> tuple[str, Path | None]:
-    """("shortest_path", path), ("negative_cycle", None) or ("no_path", None)."""
-    local = Local.of(g, max_edges)
-    arcs = [(u, v, w) for u in local.nodes for v, w in local.out[u].items()]
-    dist, parent, cycle = kernels.bellman_ford(local.nodes, arcs, start)
-    if cycle:
+def bellman_ford(g: Graph, start: int, goal: int) -> tuple[str, Path | None]:
+    """("shortest_path", path), ("negative_cycle", None) or ("no_path", None); a cycle counts where ``start`` reaches it."""
+    try:
+        found = _one_path(g, start, goal, MIN_PLUS)
+    except NegativeCycle:
         return "negative_cycle", None
-    return ("shortest_path", Path(kernels.trace(parent, goal), dist[goal])) if goal in dist else ("no_path", None)
+    return ("shortest_path", found) if found else ("no_path", None)
 
 
 bellman_ford_int = bellman_ford_float = bellman_ford

@@ -218,7 +218,18 @@ def assortativity_flow(spark, sf_dir):
     return one_row(spark, score=round(health.assortativity(ds.flow(spark, sf_dir)), 6))
 
 
-@query()
+#: Hops of at most 8 by doubling, counts of shortest paths a level at a time.
+_HOPS = f"""WITH {ds.FLOW},
+h1 AS (SELECT src AS s, dst AS t, 1 AS d FROM flow UNION ALL SELECT id, id, 0 FROM nodes),""" + "".join(f"""
+h{2 * k} AS (SELECT a.s, b.t, min(a.d + b.d) AS d FROM h{k} a JOIN h{k} b ON a.t = b.s GROUP BY 1, 2),""" for k in (1, 2, 4)) + """
+c0 AS (SELECT id AS s, id AS t, 1.0::DOUBLE AS c FROM nodes)""" + "".join(f""",
+c{k} AS (SELECT c.s, f.dst AS t, sum(c.c) AS c FROM c{k - 1} c JOIN flow f ON f.src = c.t JOIN h8 h ON h.s = c.s AND h.t = f.dst AND h.d = {k} GROUP BY 1, 2)""" for k in range(1, 9)) + """,
+n AS (SELECT s, t, d, c FROM h8 JOIN (""" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(9)) + ") USING (s, t))"
+
+
+@query(_HOPS + """, b AS (SELECT x.t AS id, sum(x.c * y.c / z.c) AS score FROM n x JOIN n y ON x.t = y.s JOIN n z ON z.s = x.s AND z.t = y.t
+  WHERE x.d > 0 AND y.d > 0 AND x.s <> y.t AND x.d + y.d = z.d GROUP BY 1)
+SELECT id, round(coalesce(score, 0.0), 6) AS score FROM nodes LEFT JOIN b USING (id)""")
 def betweenness_flow(spark, sf_dir):
     return centrality.betweenness(ds.flow(spark, sf_dir), weighted=False).select("id", F.round("score", 6).alias("score"))
 
@@ -664,4 +675,4 @@ def edge_ends(spark, sf_dir):
     return g.degrees().where("degree = 0").agg(F.count("*").alias("isolated"))
 
 
-from arcweave import queries_extra, queries_more  # noqa: E402, F401  register more
+from arcweave import queries_extra, queries_more, queries_rounds  # noqa: E402, F401  register more
