@@ -10,25 +10,26 @@ doc_id.
    (a * x + b mod 2 ** 64, upper half, a odd).  Sets that agree on all minima
    of a band share its bucket.  A pair at 0.8 shares none of the buckets with
    probability (1 - 0.8 ** 5) ** 40 = 1.3e-7; more similar pairs with less.
-3. Buckets are compared against hubs instead of all pairs.  The first hub of a
-   bucket is its member that meets most others over all bands (the original of
-   edited copies, whose edits differ).  Links join components; a bucket whose
-   members are all of one component is done.  Elsewhere the members outside the
-   bucket's largest component ask those of other components: ``ASKERS`` of them
-   first, then, in what is still mixed, all.  Two sets of different components
-   share only shingles that other components hold too; these are counted once
-   for each set, and a pair that could not reach the threshold with them alone
-   is left out within the join.  That is exact: no link is given up for a
-   group's size, and pairs within a component are never listed.
-4. A pair must agree on as many minima as a linked pair does but for a chance
-   of 1e-11 (signature verification) and is then confirmed on the full sets.
+3. Members of a bucket are compared with a hub instead of with each other: the
+   one that meets most others over all bands (the original of edited copies,
+   whose edits differ).  Links to hubs join components.
+4. Pairs that share a hub and are of different components are left.  One of the
+   two, x, isn't linked to the hub h.  If all that x and y share lies in h, they
+   share at most min(|x & h|, |y & h|), a bound that few pairs reach since x is
+   too far from h; otherwise they share a shingle that h lacks.  So candidates
+   are pairs within the bound, and pairs that meet in an index of the shingles
+   beside the hub's.  Both ways are exact: no link is given up for a group's
+   size, and the pairs of a group are not listed.  A pair must agree on as many
+   minima as a linked pair does but for a chance of 1e-11 (signature
+   verification) and is then confirmed on the full sets.
 5. Components are those of the confirmed links by alternating large-star and
    small-star.
 
 Scale: what is shuffled per distinct set are its signature once and 20 bytes a
 band twice; full sets are taken only of documents that share a bucket.  Hot
-buckets are pre-aggregated (counts, hubs by limited windows); joins are equi-joins that adaptive
-execution can split.  The driver sees loop statistics only.
+buckets are pre-aggregated (counts, hubs); the members of a hub are spread over
+salted keys and joins are equi-joins that adaptive execution can split.  The
+driver sees loop statistics only.
 
 Defined results: null and blank texts have an empty set, link with nothing and
 are components of their own.  A text with fewer words than a shingle is one
@@ -48,7 +49,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arcweave.llm.common import map_rows, slices, texts
 from arcweave.operators.components import component_links
@@ -56,8 +56,8 @@ from arcweave.plans.materialize import discard, materialize, stat
 
 #: Minima a band, and bands.
 ROWS, BANDS = 5, 40
-#: Members of a bucket that ask the others in the second round.
-ASKERS = 64
+#: Keys over which the members of one hub are spread.
+SALTS = 16
 #: Shingles whose hashes exist at a time.
 CHUNK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -168,92 +168,113 @@ def _full_sets(docs: DataFrame, sets: DataFrame, ids: DataFrame, width: int) ->
     return out
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose minima agree often enough and whose sets share at least ``percent`` of their union."""
+def _agree(sig: bytes, other: bytes, percent: int) -> bool:
+    """Whether minima agree as often as those of a linked pair do, but for a chance of 1e-11."""
     share, k = percent / 100, ROWS * BANDS
-    least = k * share - 7 * math.sqrt(k * share * (1 - share))
+    return np.count_nonzero(np.frombuffer(sig, np.uint32) == np.frombuffer(other, np.uint32)) >= k * share - 7 * math.sqrt(k * share * (1 - share))
+
+
+def _enough(both: int, n: int, m: int, percent: int) -> bool:
+    return 100 * both >= percent * (n + m - both)
+
+
+def _with_sets(pairs: DataFrame, full: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with minima s, t and sets x, y of the ids in columns ``a`` and ``b``."""
+    left, right = (full.select(F.col("id").alias(i), F.col("sig").alias(s), F.col("words").alias(w)) for i, s, w in ((a, "s", "x"), (b, "t", "y")))
+    return pairs.join(left, a).join(right, b).select(a, b, "s", "t", "x", "y")
 
-    def linked(sig: bytes, other: bytes, x: bytes, y: bytes) -> bool:
-        if np.count_nonzero(np.frombuffer(sig, np.uint32) == np.frombuffer(other, np.uint32)) < least:
-            return False
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return 100 * both >= percent * (len(p) + len(q) - both)
+
+def _against_hubs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(id, hub, n, both, linked, added) of ``pairs`` (id, hub): what a set shares with its hub, and what it has besides."""
+    names = ["id", "hub", "n", "both", "linked", "added"]
 
     def work(batches):
         for batch in slices(batches):
-            keep = [linked(*four) for four in zip(*(texts(batch.column(i)) for i in range(2, 6)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+            n, both, linked, added = [], [], [], []
+            for s, t, x, y in zip(*(texts(batch.column(i)) for i in range(2, 6)), strict=True):
+                p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                own = np.setdiff1d(p, q, assume_unique=True)
+                n.append(len(p))
+                both.append(len(p) - len(own))
+                linked.append(_agree(s, t, percent) and _enough(both[-1], len(p), len(q), percent))
+                added.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(added, pa.binary())], names=names)
 
-    left, right = (full.select(F.col("id").alias(i), F.col("sig").alias(s), F.col("words").alias(w)) for i, s, w in (("a", "s", "x"), ("b", "t", "y")))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y")
-    return materialize(both.mapInArrow(work, "a long, b long"), "confirmed", n=F.count("*"))
+    return _with_sets(pairs, full, "id", "hub").mapInArrow(work, "id long, hub long, n long, both long, linked boolean, added binary")
 
 
-def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of ``members`` (key, id, ...) in buckets of several components, with their ``comp`` and the bucket's largest, ``main``."""
-    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    placed = materialize(placed, "placed")
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    several = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
-    out = materialize(placed.join(several.select("key", F.col("top.comp").alias("main")), "key"), "unsettled", n=F.count("*"))
-    discard(placed)
-    return out
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose minima agree often enough and whose sets share at least ``percent`` of their union."""
+
+    def work(batches):
+        for batch in slices(batches):
+            keep = []
+            for s, t, x, y in zip(*(texts(batch.column(i)) for i in range(2, 6)), strict=True):
+                p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                keep.append(_agree(s, t, percent) and _enough(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+
+    return _with_sets(pairs, full, "a", "b").mapInArrow(work, "a long, b long")
 
 
-def _outward(todo: DataFrame, full: DataFrame) -> DataFrame:
-    """(id, p): how many of a set's shingles some set of another component of ``todo`` holds too."""
+def _elements(todo: DataFrame) -> DataFrame:
+    """A row for each shingle that a member of ``todo`` has besides its hub's."""
 
     def work(batches):
         for batch in slices(batches):
             held = [np.frombuffer(w, np.int64) for w in texts(batch.column(2))]
             if held:
                 sizes = [len(h) for h in held]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1)] + [pa.array(np.concatenate(held))], names=["id", "comp", "shingle"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1)] + [pa.array(np.concatenate(held))], names=["hub", "id", "e"])
+
+    return todo.select("hub", "id", "added").mapInArrow(work, "hub long, id long, e long").join(todo.drop("added"), ["hub", "id"])
+
+
+def _open_pairs(todo: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that could still be linked, by their relation to a common hub."""
+    other = {"id": "other", "n": "m", "both": "both2", "own": "own2", "comp": "comp2"}
+    apart = (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+
+    def met(members: DataFrame, keys: list[str], most) -> DataFrame:
+        able = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+        asking = members.where("asks").select(*keys, *[F.col(k).alias(v) for k, v in other.items()])
+        return members.join(asking, keys).where(apart & able).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
-    sets = full.select("id", "words").join(todo.select("id", "comp").distinct(), "id").select("id", "comp", "words")
-    spread = sets.mapInArrow(work, "id long, comp long, shingle long")
-    several = spread.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
-    return spread.join(several, "shingle").groupBy("id").agg(F.count("*").alias("p"))
+    salted = todo.drop("added").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    asked = salted.where("asks").select("hub", *[F.col(k).alias(v) for k, v in other.items()], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    within = (100 + percent) * F.least("both", "both2") >= percent * (F.col("n") + F.col("m"))
+    inside = salted.join(asked, ["hub", "salt"]).where(apart & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    outside = met(_elements(todo), ["hub", "e"], F.least("both", "both2") + F.least("own", "own2"))
+    return inside.union(outside).distinct()
 
 
 def near_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of every id of ``sets`` (id, d, least, n, sig) that has a link."""
     members = _buckets(sets)
     full = _full_sets(docs, sets, members.select("id").distinct(), width)
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    ends = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    hubs = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("i"), "n")).alias("x"))
-    todo = members.join(hubs.select("key", (-F.col("x.i")).alias("hub"), F.col("x.n").alias("m")), "key").where("id <> hub")
-    todo = materialize(todo, "hubs")
-    links = confirmed(todo.where(sizes).select(*ends).distinct(), full, percent)
+    hubs = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("x")).select("key", (-F.col("x.i")).alias("hub"))
+    pairs = members.join(hubs, "key").where("id <> hub").select("id", "hub").distinct()
+    against = materialize(_against_hubs(pairs, full, percent), "against")
+    discard(members)
+    links = against.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     comps = materialize(component_links(links, "a", "b"), "comps")
-    old, todo = todo, _unsettled(todo.select("key", "id", "n"), comps)
-    discard(old, members)
-    if stat(todo, "n"):
-        outward = _outward(todo, full)
-        full = materialize(full.join(todo.select("id").distinct(), "id", "left_semi"), "full")
-        todo = materialize(todo.join(outward, "id", "left").withColumn("p", F.coalesce("p", F.lit(0))), "todo", n=F.count("*"))
-    for most in (ASKERS, None):
-        if not stat(todo, "n"):
-            break
-        asking = todo.where("comp <> main")
-        if most:
-            w = Window.partitionBy("key").orderBy(F.desc("p"), "id")
-            asking = asking.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-        asking = materialize(asking.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("other")), "asking")
-        # what two sets share lies in both of their outward parts
-        able = (100 + percent) * F.least("p", "q") >= percent * (F.col("n") + F.col("m"))
-        pairs = todo.join(asking, "key").where((F.col("comp") != F.col("other")) & sizes & able).select(*ends).distinct()
-        found = confirmed(pairs, full, percent)
-        links = links.union(found)
+    of = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"{k}_comp"))
+    placed = against.join(of("id"), "id", "left").join(of("hub"), "hub", "left").select(
+        "hub", "id", "n", "both", (F.col("n") - F.col("both")).alias("own"), "added", F.coalesce("id_comp", "id").alias("comp"),
+        (F.coalesce("id_comp", "id") != F.coalesce("hub_comp", "hub")).alias("asks"),
+    )
+    placed = materialize(placed, "placed", n=F.count_if("asks"))
+    discard(against)
+    if not stat(placed, "n"):
+        return comps
+    todo = materialize(placed.join(placed.where("asks").select("hub").distinct(), "hub", "left_semi"), "todo")
+    pairs = materialize(_open_pairs(todo, percent), "open", n=F.count("*"))
+    if stat(pairs, "n"):
+        some = full.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+        found = materialize(confirmed(pairs, some, percent), "found", n=F.count("*"))
         if stat(found, "n"):
-            comps = materialize(component_links(links, "a", "b"), "comps")
-        if most:
-            rest = todo.join(asking.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").drop("comp", "main")
-            todo = _unsettled(rest, comps)
+            first = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = materialize(component_links(first.union(found), "a", "b"), "comps")
     return comps
 
 
