@@ -9,11 +9,12 @@
    word a fragment goes up to three words to each side, as far as no word is
    rarer; to the left it also stops before the same word, so that a phrase is
    owned by the first place of its pivot and counted once wherever it stands.
-   Fragments that repeat are counted before they are sent.
+   Fragments for two words go first; longer ones are then cut at pairs of words
+   that aren't frequent, by flags in an array of fixed size again.
 3. Fragments are dealt by (lang, pivot).  All places of a phrase meet there, so
    phrases are counted and rare ones dropped in that very task, without another
-   shuffle.  A slot that is wrong (two words in one) costs longer fragments and
-   changes no count.
+   shuffle.  A slot that is wrong (two words or pairs in one) costs longer
+   fragments and changes no count.
 4. Frequent phrases, 1 to 4 words, are scored by joins of phrases with their
    parts and contained ones dropped by an aggregate over longer ones.
 
@@ -47,6 +48,8 @@ from arcweave.plans.materialize import materialize
 LONGEST = 4
 #: Slots of hashed word counts that every task holds (8 bytes each).
 SLOTS = 1 << 20
+#: Slots, as a power of two, of flags of frequent pairs of words that every task holds (a byte each).
+PAIR_BITS = 23
 #: Entries of a task's table of counts, and of its memory of words.
 HELD = 1 << 17
 #: A pivot is spread where it has more than one in so many words.
@@ -127,23 +130,50 @@ class _Order(dict):
         return out
 
 
-def _reach(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The slot of each pair of neighbouring words by their orders."""
+    mixed = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ second.view(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def pair_flags(pairs: DataFrame, slots: np.ndarray) -> np.ndarray:
+    """Slots that some frequent phrase of two words of ``pairs`` (lang, phrase) has."""
+
+    def work(batches):
+        orders: dict[str, _Order] = {}
+        for batch in slices(batches):
+            langs, phrases = batch.column(0).to_pylist(), [p.split(b" ") for p in texts(batch.column(1))]
+            placed = [[orders.setdefault(k, _Order(k, memoryview(slots)))[p[i]] for k, p in zip(langs, phrases, strict=True)] for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_slots(*(np.array(x, dtype=np.int64) for x in placed)))], names=["slot"])
+
+    found = pairs.select("lang", "phrase").mapInArrow(work, "slot long").distinct().toArrow()  # at most 2 ** PAIR_BITS rows
+    out = np.zeros(1 << PAIR_BITS, dtype=np.bool_)
+    out[found["slot"].to_numpy()] = True
+    return out
+
+
+def _reach(o: np.ndarray, longest: int, flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """How many words to the left and to the right belong to each word's fragment."""
-    pad = np.zeros(LONGEST - 1, dtype=o.dtype)
+    pad = np.zeros(longest, dtype=o.dtype)
     wide = np.concatenate([pad, o, pad])
+    near = np.ones(len(wide) - 1, dtype=np.bool_) if flags is None else flags[_pair_slots(wide[:-1], wide[1:])]
     left, right = np.zeros((2, len(o)), dtype=np.int64)
     goes_left = goes_right = o > 0
-    for j in range(1, LONGEST):
-        at = LONGEST - 1
-        goes_left = goes_left & (wide[at - j : at - j + len(o)] > o)
-        goes_right = goes_right & (wide[at + j : at + j + len(o)] >= o)
+    for j in range(1, longest):
+        at, n = longest, len(o)
+        goes_left = goes_left & (wide[at - j : at - j + n] > o) & near[at - j : at - j + n]
+        goes_right = goes_right & (wide[at + j : at + j + n] >= o) & near[at + j - 1 : at + j - 1 + n]
         left += goes_left
         right += goes_right
     return left, right
 
 
-def fragments(docs: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
-    """(lang, pivot, hot, at, more, words, c): the fragments of ``docs`` (lang, text) by their pivot's key, with the numbers of words before and after it."""
+def fragments(docs: DataFrame, slots: np.ndarray, total: int, flags: np.ndarray | None = None) -> DataFrame:
+    """(lang, pivot, hot, at, more, words, c): the fragments of ``docs`` (lang, text) by their pivot's key, with the numbers of words before and after it.
+
+    They are for phrases of two words, or with the ``flags`` of those for longer ones.
+    """
+    longest, fewest = (2, 2) if flags is None else (LONGEST, 3)
     names = ["lang", "pivot", "hot", "at", "more", "words", "c"]
 
     def work(batches):
@@ -177,8 +207,8 @@ def fragments(docs: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
                         orders.clear()
                     orders[lang] = _Order(lang, counts)
                 o = np.fromiter(map(orders[lang].__getitem__, words), np.int64, len(words))
-                left, right = _reach(o)
-                at = np.flatnonzero(left + right)
+                left, right = _reach(o, longest, flags)
+                at = np.flatnonzero(left + right >= fewest - 1)
                 cut = [b" ".join(words[i:j]) for i, j in zip((at - left[at]).tolist(), (at + right[at] + 1).tolist(), strict=True)]
                 hot = (o[at] >> 24) * SPREAD >= total
                 for i in np.flatnonzero(hot).tolist():
@@ -194,26 +224,32 @@ def fragments(docs: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(work, "lang string, pivot long, hot boolean, at int, more int, words string, c long")
 
 
-def _phrases() -> Column:
+def _phrases(fewest: int, longest: int) -> Column:
     """The phrases of a fragment ``words`` that hold its pivot, which has ``at`` words before it and ``more`` after; one start and one end each."""
     found = []
-    for before in range(LONGEST):
-        for after in range(LONGEST - before):
-            if before + after:
+    for before in range(longest):
+        for after in range(longest - before):
+            if before + after + 1 >= fewest:
                 cut = F.expr(f"substring_index(substring_index(words, ' ', at + {after + 1}), ' ', -{before + after + 1})")
                 found.append(F.when((F.col("at") >= before) & (F.col("more") >= after), cut))
     return F.array_compact(F.array(*found))
 
 
+def _mined(found: DataFrame, fewest: int, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases of fragments that are found ``least`` times; counted where their pivot's fragments meet."""
+    dealt = found.repartition("lang", "pivot").select("lang", "pivot", "hot", F.explode(_phrases(fewest, longest)).alias("phrase"), "c")
+    mined = dealt.groupBy("lang", "pivot", "hot", "phrase").agg(F.sum("c").alias("f")).where(F.col("hot") | (F.col("f") >= least))
+    return mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
 def frequent_phrases(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f): phrases of 1 to ``LONGEST`` words found ``least`` times; ``words`` are :func:`word_counts`."""
-    frequent = words.where(F.col("f") >= least)
+    frequent = words.where(F.col("f") >= least).select("lang", "phrase", "f")
     total = int(words.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()["n"])
-    dealt = fragments(docs, word_slots(frequent), total).repartition("lang", "pivot")
-    spread = dealt.select("lang", "pivot", "hot", F.explode(_phrases()).alias("phrase"), "c")
-    mined = spread.groupBy("lang", "pivot", "hot", "phrase").agg(F.sum("c").alias("f")).where(F.col("hot") | (F.col("f") >= least))
-    more = mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return frequent.select("lang", "phrase", "f").union(more)
+    slots = word_slots(frequent)
+    pairs = materialize(_mined(fragments(docs, slots, total), 2, 2, least), "pairs")
+    longer = _mined(fragments(docs, slots, total, pair_flags(pairs, slots)), 3, LONGEST, least)
+    return frequent.union(pairs).union(longer)
 
 
 def _exact(c: str | Column) -> Column:
