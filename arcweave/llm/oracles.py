@@ -40,13 +40,21 @@ def _domain_sql(host: str) -> tuple[str, str]:
 
 
 def _strength_sql(nodes: str) -> str:
-    """The likeliest strength of the grid, the largest where likelihoods are level."""
-    grid = ", ".join(map(repr, url_filters.STRENGTHS))
+    """Of the grid's strengths that lack at most 1.92 of the best log likelihood, the one whose ratio to two pages is least."""
+    grid = ", ".join(f"{2.0 ** (j / 2)!r}" for j in range(-8, 41))
     ll = "lgamma(s * m + k) - lgamma(s * m) + lgamma(s * (1 - m) + n - k) - lgamma(s * (1 - m)) + lgamma(s) - lgamma(s + n)"
-    return f"""(SELECT coalesce(max(s), {url_filters.STRENGTHS[-1]}) FROM
+    return f"""coalesce((SELECT s FROM
       (SELECT s, ll, max(ll) OVER () AS top FROM
         (SELECT s, sum({ll}) AS ll FROM {nodes}, (SELECT unnest([{grid}]) AS s) WHERE n > 0 AND m > 0 AND m < 1 GROUP BY s))
-      WHERE ll >= top - 1e-6 * (1 + abs(top)))"""
+      WHERE ll >= top - 1.92 ORDER BY abs(ln(s / 2.0)), s LIMIT 1), 2.0)"""
+
+
+def _level_sql(name: str, key: str, rows: str, parent: str) -> str:
+    """Nodes with the mean m and evidence t of their parent without them, then with their priors pa, pb."""
+    return f"""
+{name}0 AS (SELECT {key}, n, k, (pa + pk - k) / (pa + pb + pn - n) AS m, pa + pb + pn - n AS t FROM ({rows}) {parent}),
+{name} AS (SELECT {key}, n, k, held * m AS pa, held * (1 - m) AS pb, n AS pn, k AS pk FROM
+  (SELECT *, greatest(2.0::DOUBLE, g * t / (t + 1 + g)) AS held FROM (SELECT *, {_strength_sql(name + "0")} AS g FROM {name}0)))"""
 
 
 def _chance_sql(threshold: float) -> str:
@@ -74,14 +82,10 @@ v AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)',
 u AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '([.]?:[0-9]*|[.])\\z', '') AS named,
   try_cast(regexp_extract(path, '{url_filters.SHOWN}', 1) AS BIGINT) AS doc_id FROM v),
 marks AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-h AS (SELECT named AS host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM u LEFT JOIN marks USING (doc_id) GROUP BY 1),
+h AS (SELECT named AS host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM u LEFT JOIN marks USING (doc_id) WHERE named <> '' GROUP BY 1),
 hosts AS (SELECT host, n, k, {domain} AS domain, {suffix} AS suffix FROM h),
-s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM hosts) AS m FROM hosts GROUP BY 1),
-s1 AS (SELECT suffix, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("s0")} AS g FROM s0)),
-d0 AS (SELECT domain, x.suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts x JOIN s1 ON x.suffix = s1.suffix GROUP BY 1, 2),
-d1 AS (SELECT domain, (g * m + k) / (g * m + k + (g * (1 - m) + n - k)) AS m FROM (SELECT *, {_strength_sql("d0")} AS g FROM d0)),
-h0 AS (SELECT host, n, k, m FROM hosts x JOIN d1 ON x.domain = d1.domain),
-h1 AS (SELECT host, g * m + k AS a, g * (1 - m) + n - k AS b FROM (SELECT *, {_strength_sql("h0")} AS g FROM h0)),
+whole AS (SELECT 0.5::DOUBLE AS pa, 0.5::DOUBLE AS pb, coalesce(sum(n), 0.0) AS pn, coalesce(sum(k), 0.0) AS pk FROM hosts),{_level_sql("s1", "suffix", "SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1", "CROSS JOIN whole")},{_level_sql("d1", "domain", "SELECT domain, suffix AS above, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2", "JOIN (SELECT suffix AS above, pa, pb, pn, pk FROM s1) USING (above)")},{_level_sql("h0", "host", "SELECT host, domain AS above, n, k FROM hosts", "JOIN (SELECT domain AS above, pa, pb, pn, pk FROM d1) USING (above)")},
+h1 AS (SELECT host, pa + k AS a, pb + n - k AS b FROM h0),
 blocked AS (SELECT host FROM h1 WHERE {_chance_sql(threshold)} >= {confidence})
 SELECT page_id, u.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN blocked ON u.named = blocked.host"""

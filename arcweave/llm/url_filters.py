@@ -2,12 +2,17 @@
 
 Labelled page outcomes (bad or not) are counted per host.  A host's rate is
 shrunk towards its registered domain, the domain's towards its public suffix,
-the suffix's towards the whole: at each level the parent's posterior mean is
-the mean of a beta prior whose strength is the one of a grid that makes that
-level's labelled counts most likely under the beta-binomial.  A host without
-labels is a node with no pages: it is judged by the prior of its nearest
-labelled domain, suffix or, failing both, the whole.  A host is blocked where
-the lower ``1 - confidence`` quantile of its posterior exceeds ``threshold``.
+the suffix's towards the whole: at each level a node has a beta prior around
+the parent's mean.  That mean is taken without the node's own pages, and it is
+uncertain itself: with t pages' worth of evidence behind it and strength s, the
+prior is worth s t / (t + 1 + s) pages, which has the variance of both, and
+``WEAK`` pages at least.  The strength is the one nearest to ``WEAK`` that the
+level's labelled counts, under the beta-binomial, leave as likely as the best
+of a grid within ``SLACK``, so counts that say nothing (one page a host, one
+suffix) give a weak prior.  A host without labels is a node with no pages: it
+is judged by the prior of its nearest labelled domain, suffix or, failing both,
+the whole.  A host is blocked where the lower ``1 - confidence`` quantile of
+its posterior exceeds ``threshold``.
 
 Reputation belongs to the host without port, user or trailing dot; an address
 in numbers is its own domain and suffix.  The ``host`` column keeps all that
@@ -18,7 +23,7 @@ host table, which is a written table, so adaptive execution can split a hot
 host's rows.  What reaches the driver is one sum per grid point and level.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path; it fits no rule and is judged like any other host.  Repeated pages are
+path; it fits no rule, has no reputation and is allowed.  Repeated pages are
 judged each; labels repeated for a document count once, bad if any is.  Of
 rules that are equally long the first in their order wins.  Very long urls are
 single values of one row; no pages give no rows, no outcomes block nothing.
@@ -26,6 +31,8 @@ single values of one row; no pages give no rows, no outcomes block nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +53,10 @@ SHOWN = r"/([0-9]+)(?:\.[a-z]+)?/?\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Prior strengths, in pages, that are tried: from a sixteenth to a million by factors of the square root of two.
 STRENGTHS = [2.0 ** (j / 2) for j in range(-8, 41)]
+#: Pages that a prior is worth at least, and a strength where counts say nothing.
+WEAK = 2.0
+#: Log likelihood that a strength may lack (half of the 95 % point of chi-squared with one degree).
+SLACK = 1.92
 #: Points at which posterior densities are summed, within so many standard deviations of the mean.
 POINTS, DEVIATIONS = 400, 12.0
 
@@ -110,17 +121,18 @@ def log_likelihood(n: Column, k: Column, m: Column, s: Column) -> Column:
 
 
 def _strength(nodes: DataFrame) -> float:
-    """Strength of the beta prior of nodes (n, k, m): the likeliest of the grid, the largest where likelihoods are level."""
+    """Strength of the beta prior of nodes (n, k, m): of the grid's values as likely as the likeliest within ``SLACK``, the one nearest to ``WEAK``."""
     seen = nodes.where("n > 0 AND m > 0 AND m < 1").select(
         *[F.col(c).cast("double").alias(c) for c in ("n", "k", "m")], F.explode(F.array(*map(F.lit, STRENGTHS))).alias("s")
     )
     sums = seen.groupBy("s").agg(F.sum(log_likelihood(*map(F.col, ("n", "k", "m", "s")))).alias("ll")).collect()  # one row a grid point
     top = max((x["ll"] for x in sums), default=0.0)
-    return max((x["s"] for x in sums if x["ll"] >= top - 1e-6 * (1 + abs(top))), default=STRENGTHS[-1])
+    near = [x["s"] for x in sums if x["ll"] >= top - SLACK] or STRENGTHS
+    return min(near, key=lambda s: (abs(math.log(s / WEAK)), s))
 
 
 def host_reputation(outcomes: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
-    """(host, a, b): beta posterior of each host of ``outcomes`` (host, bad) and of ``unseen`` (host).
+    """(host, a, b): beta posterior of each host of ``outcomes`` (host, bad) and of ``unseen`` (host); empty hosts have none.
 
     Hosts come as :func:`reputation_host` gives them.  Those that only
     ``unseen`` has count as no pages, none bad: strengths and means of the
@@ -131,24 +143,26 @@ def host_reputation(outcomes: DataFrame, unseen: DataFrame | None = None) -> Dat
         none = F.lit(0).cast("long")
         counted = counted.unionByName(unseen.select("host", none.alias("n"), none.alias("k")))
     hosts = materialize(
-        counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        counted.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         .select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "k"),
         "hosts",
     )
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    whole = (total["k"] + 0.5) / (total["n"] + 1.0)
-    level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m", F.lit(whole))
-    parent = level
-    for key, up in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
-        if up:
-            keys = [key, up]
-            level = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(parent, up)
-        s = _strength(level)
-        posterior = level.select(
-            key, (F.lit(s) * F.col("m") + F.col("k")).alias("a"), (F.lit(s) * (1 - F.col("m")) + F.col("n") - F.col("k")).alias("b")
-        )
-        parent = posterior.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    return posterior
+    up = [F.lit(float(x)) for x in (0.5, 0.5, total["n"], total["k"])]
+    parent = None
+    for key, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
+        level = hosts.groupBy(key, *([above] if above else [])).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        if parent is not None:
+            level = level.join(parent, above)
+            up = [F.col(c) for c in ("pa", "pb", "pn", "pk")]
+        # what is known of the parent without this node: its own prior and the other nodes below it
+        a, b = up[0] + up[3] - F.col("k"), up[1] + (up[2] - up[3]) - (F.col("n") - F.col("k"))
+        level = materialize(level.select(key, "n", "k", (a / (a + b)).alias("m"), (a + b).alias("t")), "level")
+        s = F.lit(_strength(level))
+        held = F.greatest(F.lit(WEAK), s * F.col("t") / (F.col("t") + 1 + s))
+        prior = level.select(key, "n", "k", (held * F.col("m")).alias("pa"), (held * (1 - F.col("m"))).alias("pb"))
+        parent = prior.select(key, "pa", "pb", F.col("n").cast("double").alias("pn"), F.col("k").cast("double").alias("pk"))
+    return prior.select("host", (F.col("pa") + F.col("k")).alias("a"), (F.col("pb") + F.col("n") - F.col("k")).alias("b"))
 
 
 def chance_above(a: Column, b: Column, threshold: float) -> Column:
