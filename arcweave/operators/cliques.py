@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.model import Graph, canonical
+from arcweave.model import Graph, canonical, dense_ids
 from arcweave.operators import kernels
+from arcweave.operators.euler_rounds import listed, tours_exist
 from arcweave.operators.local import MAX_EDGES, Local, by_component
 from arcweave.plans.materialize import materialize, stat
 
@@ -106,42 +107,32 @@ def color_parallel(g: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFra
     raise RuntimeError("colours did not settle")
 
 
-def _arcs(g: Graph, max_edges: int) -> dict:
-    local = Local.of(g, max_edges)
-    arcs: dict = {n: [] for n in local.nodes}
-    for i, (u, v, _) in enumerate(local.edges()):
-        arcs[u].append((v, i))
-        if not g.directed and u != v:
-            arcs[v].append((u, i))
-    return arcs
+def _numbered(g: Graph) -> DataFrame:
+    """(edge, src, dst): the edges numbered in order of their ends."""
+    return dense_ids(g.edges.select("src", "dst", F.struct("src", "dst").alias("key")), "key", "edge").select("edge", "src", "dst")
 
 
-def _odd_loops(arcs: dict, directed: bool) -> dict:
-    """For degrees, an undirected loop counts twice."""
-    if directed:
-        return arcs
-    return {u: [y for v, i in x for y in ([(v, i), (v, i)] if v == u else [(v, i)])] for u, x in arcs.items()}
+def has_eulerian_circuit(g: Graph) -> bool:
+    """Even or balanced degrees and one component, isolated nodes aside; false without edges."""
+    return tours_exist(g.edges, g.directed)[0]
 
 
-def has_eulerian_circuit(g: Graph, max_edges: int = MAX_EDGES) -> bool:
-    """Even or balanced degrees and one component, isolated nodes aside; false without edges."""
-    return kernels.euler_ends(_odd_loops(_arcs(g, max_edges), g.directed), g.directed)[0]
+def has_eulerian_path(g: Graph) -> bool:
+    return tours_exist(g.edges, g.directed)[1]
 
 
-def has_eulerian_path(g: Graph, max_edges: int = MAX_EDGES) -> bool:
-    return kernels.euler_ends(_odd_loops(_arcs(g, max_edges), g.directed), g.directed)[1]
+def _walk(g: Graph, closed: bool, max_edges: int) -> list[int] | None:
+    rows = listed(_numbered(g), g.directed, closed, max_edges)
+    return None if rows is None else [rows[0]["src"], *(r["dst"] for r in rows)]
 
 
 def find_eulerian_circuit(g: Graph, max_edges: int = MAX_EDGES) -> list[int] | None:
-    arcs = _arcs(g, max_edges)
-    circuit, _, start = kernels.euler_ends(_odd_loops(arcs, g.directed), g.directed)
-    return kernels.euler_trail(arcs, start, g.directed)[0] if circuit else None
+    """Nodes in walking order, from ``euler_rounds``."""
+    return _walk(g, True, max_edges)
 
 
 def find_eulerian_path(g: Graph, max_edges: int = MAX_EDGES) -> list[int] | None:
-    arcs = _arcs(g, max_edges)
-    _, path, start = kernels.euler_ends(_odd_loops(arcs, g.directed), g.directed)
-    return kernels.euler_trail(arcs, start, g.directed)[0] if path else None
+    return _walk(g, False, max_edges)
 
 
 def euler_degrees(g: Graph) -> DataFrame:

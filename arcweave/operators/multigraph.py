@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.model import Combine, Graph, canonical, combined, node_frame
-from arcweave.operators import kernels
+from arcweave.operators.euler_rounds import listed, tours_exist
 from arcweave.operators.local import MAX_EDGES
 from arcweave.operators.transform import TooLarge
 
@@ -180,26 +180,23 @@ def dfs(mg: MultiGraph, start: int) -> list[int]:
     return out
 
 
-def _ends(mg: MultiGraph):
-    arcs = mg.local_arcs()
-    counted = arcs if mg.directed else {u: [y for v, i in x for y in ([(v, i), (v, i)] if v == u else [(v, i)])] for u, x in arcs.items()}
-    return arcs, kernels.euler_ends(counted, mg.directed)
-
-
 def has_eulerian_circuit(mg: MultiGraph) -> bool:
-    return _ends(mg)[1][0]
+    return tours_exist(mg.edges, mg.directed)[0]
 
 
 def has_eulerian_path(mg: MultiGraph) -> bool:
-    return _ends(mg)[1][1]
+    return tours_exist(mg.edges, mg.directed)[1]
+
+
+def _walk(mg: MultiGraph, closed: bool, max_edges: int) -> list[int] | None:
+    rows = listed(mg.edges.select(F.col("eid").alias("edge"), "src", "dst"), mg.directed, closed, max_edges)
+    return None if rows is None else [r["edge"] for r in rows]
 
 
-def find_eulerian_circuit(mg: MultiGraph) -> list[int] | None:
+def find_eulerian_circuit(mg: MultiGraph, max_edges: int = MAX_EDGES) -> list[int] | None:
     """Edge ids in walking order."""
-    arcs, (circuit, _, start) = _ends(mg)
-    return kernels.euler_trail(arcs, start, mg.directed)[1] if circuit else None
+    return _walk(mg, True, max_edges)
 
 
-def find_eulerian_path(mg: MultiGraph) -> list[int] | None:
-    arcs, (_, path, start) = _ends(mg)
-    return kernels.euler_trail(arcs, start, mg.directed)[1] if path else None
+def find_eulerian_path(mg: MultiGraph, max_edges: int = MAX_EDGES) -> list[int] | None:
+    return _walk(mg, False, max_edges)

@@ -7,14 +7,15 @@ from pyspark.sql.window import Window
 
 from arcweave import datasets as ds
 from arcweave.functions.semirings import MAX_MIN, MIN_PLUS
-from arcweave.model import Graph
-from arcweave.operators import matching_rounds, path_tables
+from arcweave.model import Graph, dense_ids
+from arcweave.operators import blocks, matching_rounds, path_tables
+from arcweave.operators.euler_rounds import euler_path_rows, euler_rows
 from arcweave.operators.flow_rounds import max_flow_rows
 from arcweave.operators.matching import matching_rows
 from arcweave.plans.materialize import materialize
 from arcweave.queries import one_row
 from arcweave.queries_extra import register
-from arcweave.queries_more import RINGS, rings
+from arcweave.queries_more import RINGS, on_rings, rings
 
 # ---- paths as rows
 
@@ -184,3 +185,41 @@ q AS (SELECT b, SUM(CASE WHEN (b >> (p - 1)) & 1 = 1 THEN all_n * (p + 2) // 10
 v AS (SELECT MIN(m.w + q.w) AS v FROM m JOIN q USING (b))
 SELECT CAST(v AS BIGINT) AS value, CAST(v AS BIGINT) AS cut, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS kept FROM v"""
 register("max_flow_orders", _CUTS, network_flow)
+
+
+# ---- Euler tours and bridges by rounds
+
+
+def chain_walks(spark, sf_dir):
+    """The walk over each customer's orders, a row a step."""
+    g = ds.order_chain(spark, sf_dir)
+    return euler_path_rows(g.edges.select(F.col("src").alias("edge"), "src", "dst"), True)
+
+
+register(
+    "euler_path_chain", f"""WITH {ds.CHAIN} SELECT MIN(o_orderkey) OVER (PARTITION BY o_custkey) AS component, CAST(rn - 1 AS BIGINT) AS position, o_orderkey AS src, dst, o_orderkey AS edge
+    FROM placed WHERE dst IS NOT NULL""", chain_walks,
+)
+
+
+def doubled_tours(spark, sf_dir):
+    """Tours over ``rings`` with every edge twice: length by hub, steps that don't go on from the last, edges not walked exactly once."""
+    g = rings(spark, sf_dir)
+    twice = g.edges.select("src", "dst", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    edges = materialize(dense_ids(twice.withColumn("key", F.struct("src", "dst", "copy")), "key", "edge").select("edge", "src", "dst"), "doubled")
+    tour = materialize(euler_rows(edges, False), "tour")
+    after = tour.select("component", (F.col("position") - 1).alias("position"), F.col("src").alias("goes_on"))
+    size = tour.groupBy("component").agg(F.count("*").alias("length"), F.max(F.when(F.col("src") >= ds.PART, F.col("src"))).alias("hub"))
+    wrap = after.join(size, "component").select("component", F.pmod("position", "length").alias("position"), "goes_on")
+    steps = tour.join(wrap, ["component", "position"], "left")
+    kept = edges.select("edge", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    walked = steps.join(kept, "edge").withColumn("broken", (F.coalesce(F.col("goes_on") != F.col("dst"), F.lit(True)) | (F.least("src", "dst") != F.col("a")) | (F.greatest("src", "dst") != F.col("b"))).cast("long"))
+    sums = walked.groupBy("component").agg(F.sum("broken").alias("broken"), F.count_distinct("edge").alias("edges"))
+    return sums.join(size, "component").select("hub", "length", "edges", "broken")
+
+
+register(
+    "euler_tours_doubled", f"""WITH {RINGS}, own AS (SELECT hub, o_orderkey AS id FROM placed)
+    SELECT hub, CAST(2 * COUNT(*) AS BIGINT) AS length, CAST(2 * COUNT(*) AS BIGINT) AS edges, CAST(0 AS BIGINT) AS broken FROM rings JOIN own ON own.id = src GROUP BY 1""", doubled_tours,
+)
+on_rings("bridges_rounds_rings", "SELECT src AS u, dst AS v FROM rings WHERE bridge", lambda g: blocks.bridges_and_cuts(g)[0])

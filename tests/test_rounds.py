@@ -7,7 +7,7 @@ import pytest
 
 from arcweave.functions.semirings import MAX_MIN, MIN_PLUS
 from arcweave.model import Graph
-from arcweave.operators import approximate, centrality, flow, flow_rounds, health, kernels, matching, matching_rounds, path_tables, paths, shortest_counts
+from arcweave.operators import approximate, centrality, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, path_tables, paths, shortest_counts
 from arcweave.operators.local import Local
 from arcweave.plans.materialize import materialize
 
@@ -151,3 +151,33 @@ def test_matching_along_a_path_and_odd_cycles(spark):
 def test_flow_kernels_agree(spark):
     g = graph_of(some_edges(random.Random(8), 8, 20, 0, 6) | {(0, 1): 3, (6, 7): 3})
     assert flow.edmonds_karp(g, 0, 7).max_flow == flow.dinic(g, 0, 7).max_flow == flow.push_relabel(g, 0, 7).max_flow
+
+
+def check_tours(spark, edges, directed, closed):
+    frame = spark.createDataFrame(edges, "edge long, src long, dst long")
+    rows = (euler_rounds.euler_rows if closed else euler_rounds.euler_path_rows)(frame, directed).collect()
+    ends = {e: (u, v) for e, u, v in edges}
+    assert sorted(r["edge"] for r in rows) == sorted(ends)
+    tours = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["position"]):
+        tours[r["component"]].append(r)
+    for c, tour in tours.items():
+        assert [r["position"] for r in tour] == list(range(len(tour))) and c == min(r["edge"] for r in tour)
+        assert all(a["dst"] == b["src"] for a, b in zip(tour, tour[1:], strict=False)) and (not closed or tour[-1]["dst"] == tour[0]["src"])
+        assert all((r["src"], r["dst"]) == ends[r["edge"]] or not directed and (r["dst"], r["src"]) == ends[r["edge"]] for r in tour)
+    return len(tours)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_euler_tours_over_loops_parallel_edges_and_components(spark, directed):
+    draw = random.Random(9)
+    edges = []
+    for part in (0, 100, 200):
+        for _ in range(4):
+            walk = [part] + [part + draw.randrange(6) for _ in range(draw.randrange(1, 7))] + [part]
+            edges += [(len(edges) + k, u, v) for k, (u, v) in enumerate(zip(walk, walk[1:], strict=False))]
+    assert check_tours(spark, edges, directed, True) == 3
+    edges += [(len(edges), 0, 5), (len(edges) + 1, 103, 100)]
+    assert check_tours(spark, edges, directed, False) == 3
+    with pytest.raises(ValueError):
+        euler_rounds.euler_rows(spark.createDataFrame(edges, "edge long, src long, dst long"), directed)
