@@ -1,4 +1,4 @@
-"""Flows and cuts: kernels behind a size guard."""
+"""Flows and cuts: push-relabel by rounds, other algorithms as kernels behind a size guard."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from arcweave.model import Graph
 from arcweave.operators import kernels
+from arcweave.operators.flow_rounds import max_flow_rows
 from arcweave.operators.local import MAX_EDGES, Local
+from arcweave.operators.transform import TooLarge
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,15 @@ def dinic(g: Graph, source: int, sink: int) -> MaxFlowResult:
     return max_flow(g, source, sink, "dinic")
 
 
-def push_relabel(g: Graph, source: int, sink: int) -> MaxFlowResult:
-    return max_flow(g, source, sink, "push_relabel")
+def push_relabel(g: Graph, source: int, sink: int, max_edges: int = MAX_EDGES) -> MaxFlowResult:
+    """The flow of :func:`flow_rounds.max_flow_rows`; only its residual arcs, the result, come to the driver."""
+    if source == sink:
+        return MaxFlowResult(0, [], source, sink)
+    found = max_flow_rows(g, source, sink)
+    rows = found.residual.limit(2 * max_edges + 1).collect()
+    if len(rows) > 2 * max_edges:
+        raise TooLarge(f"a residual of more than {2 * max_edges} arcs is not listed on the driver")
+    return MaxFlowResult(found.value, sorted((r["u"], r["v"], r["c"]) for r in rows), source, sink)
 
 
 max_flow_int = max_flow_float = max_flow

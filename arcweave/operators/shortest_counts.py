@@ -72,8 +72,15 @@ def _by_hops(arcs: DataFrame, sources: DataFrame) -> DataFrame:
         # of each node here: 1 / its count, and what came back to it
         known = level if back is None else level.join(back, ["s", "v"], "left")
         share = (1 / F.col("sigma") + (F.lit(0.0) if back is None else F.coalesce("e", F.lit(0.0)))).alias("e")
-        given = known.select("s", "v", share).join(arcs, F.col("v") == F.col("x")).groupBy("s", F.col("u").alias("v")).agg(F.sum("e").alias("e"))
-        back = materialize(given.join(above.select("s", "v"), ["s", "v"], "left_semi"), "back")
+        given = known.select("s", "v", share)
+        if stat(above, "n") < stat(level, "n"):
+            # few rows above: they ask their successors instead of being told by all of them
+            asked = above.select("s", F.col("v").alias("u")).join(arcs, "u").select("s", "u", F.col("x").alias("v"))
+            back = asked.join(given, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum("e").alias("e"))
+        else:
+            told = given.join(arcs, F.col("v") == F.col("x")).groupBy("s", F.col("u").alias("v")).agg(F.sum("e").alias("e"))
+            back = told.join(above.select("s", "v"), ["s", "v"], "left_semi")
+        back = materialize(back, "back")
         shares.append(back.join(above, ["s", "v"]).where("s <> v").select("v", (F.col("e") * F.col("sigma")).alias("part")))
     return _summed(shares, arcs, levels)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arcweave.model import Graph
 from arcweave.operators import kernels
 from arcweave.operators.components import component_links
-from arcweave.operators.local import MAX_EDGES, Local, by_component
+from arcweave.operators.local import MAX_EDGES, Local
 from arcweave.operators.transform import TooLarge
 from arcweave.plans.materialize import materialize
 
@@ -100,22 +100,26 @@ def boruvka(g: Graph, max_edges: int = MAX_EDGES) -> ForestResult:
     return ForestResult(spanning_forest(g), "boruvka", max_edges)
 
 
-def kruskal(g: Graph, max_edges: int = MAX_EDGES) -> MstResult:
-    """Edges by weight joined by disjoint sets: a minimum spanning forest."""
+def kruskal(g: Graph, max_edges: int = MAX_EDGES) -> ForestResult:
+    """A minimum spanning forest: the one of :func:`spanning_forest`, whose order of edges is total."""
     _undirected(g)
-    return _result(kernels.kruskal(Local.of(g, max_edges)), "kruskal")
+    return ForestResult(spanning_forest(g), "kruskal", max_edges)
 
 
-def kruskal_by_component(g: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(src, dst, w) of the forest, a task for each component."""
+def kruskal_by_component(g: Graph) -> DataFrame:
+    """(src, dst, w) of the forest."""
     _undirected(g)
-    return by_component(g, kernels.kruskal, "src long, dst long, w double", max_edges)
+    return spanning_forest(g).select("src", "dst", F.col("w").cast("double").alias("w"))
 
 
-def prim(g: Graph, max_edges: int = MAX_EDGES) -> MstResult:
-    """The tree grown from the smallest node: one component."""
+def prim(g: Graph, max_edges: int = MAX_EDGES) -> ForestResult:
+    """The tree of the smallest node's component."""
     _undirected(g)
-    return _result(kernels.prim(Local.of(g, max_edges)), "prim")
+    forest = materialize(spanning_forest(g), "forest")
+    parts = materialize(component_links(forest, "src", "dst"), "parts")
+    start = g.nodes.agg(F.min("id").alias("node"))
+    tree = parts.join(parts.join(start, "node").select("component"), "component").select(F.col("node").alias("src"))
+    return ForestResult(forest.join(tree, "src", "left_semi").select("src", "dst", "w"), "prim", max_edges)
 
 
 def edmonds(g: Graph, root: int, max_edges: int = MAX_EDGES) -> MstResult:
