@@ -1,64 +1,24 @@
 """Random models with seeds.
 
 Draws are hashes of (seed, what is drawn), so they don't depend on partitions
-or retries.  Models whose pairs are independent are relational; those where a
-draw depends on earlier ones run on the driver, bounded by their own size.
+or retries.  Models whose pairs are independent are drawn by jumps
+(``draws``, ``classes``); those where a draw depends on earlier ones go by
+rounds over tables (``attached``).
 """
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.generators import attached, classes
+from arcweave.generators.attached import NoGraph
 from arcweave.generators.classic import _graph, _ids, empty_graph
-from arcweave.model import Graph, edge_frame, node_frame
-
-
-def uniform(seed: int, *what: Column) -> Column:
-    """A number in [0, 1) for each combination of ``what``."""
-    return F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-
-
-#: Numbers drawn or handed on at a time.
-CHUNK = 1 << 16
-
-
-def chosen(rows: DataFrame, seed: int) -> DataFrame:
-    """(src, run, k): of the numbers 0 .. m - 1 of each row (src, run, m, p) every one with probability p.
-
-    Jumps from one chosen number to the next are geometric and drawn until they
-    pass m, from a stream of (seed, src, run): the work follows what is chosen,
-    nothing is cut off, and a task that runs again draws the same.
-    """
-    key = seed % (1 << 64)
-    names = ["src", "run", "k"]
-
-    def draw(batches):
-        for batch in batches:
-            held, size = [], 0
-            for src, run, m, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                r, at = np.random.default_rng((key, src, run)), -1
-                while p > 0 and at < m - 1:
-                    jumps = r.geometric(min(p, 1.0), min(CHUNK, int((m - at) * p) + 16))
-                    got = at + np.cumsum(np.minimum(jumps, m + 1))
-                    at = int(got[-1])
-                    got = got[got < m]
-                    held.append((np.full(len(got), src), np.full(len(got), run, dtype=np.int32), got.astype(np.int64)))
-                    size += len(got)
-                    if size >= CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
-                        held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
-
-    typed = rows.selectExpr("CAST(src AS BIGINT) AS src", "CAST(run AS INT) AS run", "CAST(m AS BIGINT) AS m", "CAST(p AS DOUBLE) AS p")
-    return typed.mapInArrow(draw, "src long, run int, k long")
+from arcweave.generators.draws import around, chosen, distinct_numbers, uniform
+from arcweave.model import Graph, node_frame
 
 
 def _likely_pairs(n: int, top: float, seed: int) -> DataFrame:
@@ -67,11 +27,6 @@ def _likely_pairs(n: int, top: float, seed: int) -> DataFrame:
     return chosen(rows, seed).select("src", (F.col("src") + F.col("k") + 1).alias("dst"))
 
 
-def _from_pairs(n: int, pairs, directed: bool, nodes: DataFrame | None = None) -> Graph:
-    g = _graph(n, edge_frame([(a, b, 1) for a, b in pairs]).select("src", "dst"), directed)
-    return g if nodes is None else Graph(nodes, g.edges, directed)
-
-
 def erdos_renyi_gnp(n: int, p: float, seed: int = 0, directed: bool = False) -> Graph:
     """Each pair with probability ``p``, by jumps between chosen pairs within each row."""
     if n < 2 or p <= 0:
@@ -89,57 +44,26 @@ def erdos_renyi_gnm(n: int, m: int, seed: int = 0, directed: bool = False) -> Gr
     m = min(m, total)
     if m <= 0:
         return empty_graph(n, directed)
-    r = random.Random(seed)
-
-    def pair(k: int) -> tuple[int, int]:
-        if directed:
-            u, v = divmod(k, n - 1)
-            return u, v + (v >= u)
-        v = (1 + math.isqrt(1 + 8 * k)) // 2
-        u = k - v * (v - 1) // 2
-        return u, v
-
-    return _from_pairs(n, map(pair, r.sample(range(total), m)), directed)
+    numbers = distinct_numbers(total, m, seed)
+    if not directed:
+        u, v = around(str(n))
+        return _graph(n, numbers.select(u.alias("src"), v.alias("dst")), directed)
+    src, at = F.expr(f"k div {n - 1}"), F.expr(f"k % {n - 1}")
+    return _graph(n, numbers.select(src.alias("src"), (at + (at >= src).cast("long")).alias("dst")), directed)
 
 
 def barabasi_albert(n: int, m: int, seed: int = 0, directed: bool = False) -> Graph:
     """Growth by preference for degrees from a clique of max(m, 2); empty if n < m or m < 1."""
     if n < m or m < 1:
         return empty_graph(0, directed)
-    r, first = random.Random(seed), min(n, max(m, 2))
-    edges = [(u, v) for u in range(first) for v in range(u + 1, first)]
-    ends = [x for e in edges for x in e]
-    for u in range(first, n):
-        chosen: set[int] = set()
-        while len(chosen) < min(m, u):
-            chosen.add(r.choice(ends))
-        for v in sorted(chosen):
-            edges.append((u, v))
-            ends += [u, v]
-    return _from_pairs(n, edges, directed)
+    return _graph(n, attached.preferential(n, m, seed), directed)
 
 
 def watts_strogatz(n: int, k: int, p: float, seed: int = 0, directed: bool = False) -> Graph:
     """A ring of k / 2 neighbours each side, ends rewired with probability ``p``; empty if invalid."""
     if n < 3 or k < 2 or k >= n or k % 2 or not 0 <= p <= 1:
         return empty_graph(0, directed)
-    r = random.Random(seed)
-    ring = [(u, (u + d) % n) for d in range(1, k // 2 + 1) for u in range(n)]
-    near: dict[int, set[int]] = {u: set() for u in range(n)}
-    for u, v in ring:
-        near[u].add(v)
-        near[v].add(u)
-    edges = []
-    for u, v in ring:
-        if r.random() < p and len(near[u]) < n - 1:
-            new = r.choice([x for x in range(n) if x != u and x not in near[u]])
-            near[u].discard(v)
-            near[v].discard(u)
-            near[u].add(new)
-            near[new].add(u)
-            v = new
-        edges.append((u, v))
-    return _from_pairs(n, edges, directed)
+    return _graph(n, attached.small_world(n, k, p, seed), directed)
 
 
 def random_tree(n: int, seed: int = 0, directed: bool = False) -> Graph:
@@ -152,25 +76,10 @@ def random_regular(n: int, d: int, seed: int = 0, tries: int = 100) -> Graph:
     """Every degree ``d``, by pairing stubs; empty if impossible or not found in ``tries``."""
     if d >= n or d < 0 or n * d % 2:
         return empty_graph(0, False)
-    r = random.Random(seed)
-    for _ in range(tries):
-        edges: set[tuple[int, int]] = set()
-        stubs = [u for u in range(n) for _ in range(d)]
-        while stubs:
-            r.shuffle(stubs)
-            left = []
-            for a, b in zip(stubs[::2], stubs[1::2], strict=True):
-                e = (min(a, b), max(a, b))
-                if a != b and e not in edges:
-                    edges.add(e)
-                else:
-                    left += [a, b]
-            if len(left) == len(stubs):
-                break
-            stubs = left
-        if not stubs:
-            return _from_pairs(n, sorted(edges), False)
-    return empty_graph(0, False)
+    try:
+        return _graph(n, attached.paired(_ids(n).select("id", F.lit(d).cast("long").alias("degree")), seed, tries=tries), False)
+    except NoGraph:
+        return empty_graph(0, False)
 
 
 def sbm_with_labels(n: int, k: int, p_in: float, p_out: float, seed: int = 0, directed: bool = False) -> tuple[Graph, DataFrame]:
@@ -201,82 +110,42 @@ def sbm(n: int, k: int, p_in: float, p_out: float, seed: int = 0, directed: bool
 
 
 def dcsbm(n: int, k: int, p_in: float, p_out: float, seed: int = 0, theta: str | Callable[[random.Random], float] = "power_law", gamma: float = 2.5, mean: float = 3.0) -> Graph:
-    """Degree-corrected blocks; theta by power_law, poisson or a callable.
-
-    Pairs are drawn with the largest probability that any has and thinned.
-    """
-    r = random.Random(seed)
-
-    def draw() -> float:
-        if callable(theta):
-            return theta(r)
-        if theta == "power_law":
-            return (1 - r.random()) ** (-1 / (gamma - 1))
-        x, limit, count = 1.0, math.exp(-mean), 0
-        while (x := x * r.random()) > limit:
-            count += 1
-        return float(max(1, count))
-
-    raw = [draw() for _ in range(n)]
-    scale = n / sum(raw) if raw and sum(raw) else 1.0
-    t = node_frame([(i, str(x * scale)) for i, x in enumerate(raw)]).select("id", F.col("data").cast("double").alias("t"))
-    s, d = t.select(F.col("id").alias("src"), F.col("t").alias("ts")), t.select(F.col("id").alias("dst"), F.col("t").alias("td"))
-    p = F.when(F.col("src") % k == F.col("dst") % k, F.lit(p_in)).otherwise(F.lit(p_out))
-    top = min(1.0, max(p_in, p_out) * (max(raw, default=0.0) * scale) ** 2)
-    pairs = _likely_pairs(n, top, seed).join(s, "src").join(d, "dst")
-    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < F.col("ts") * F.col("td") * p).select("src", "dst"), False)
+    """Degree-corrected blocks (id mod k); theta by power_law, poisson or a callable."""
+    return _graph(n, classes.corrected_blocks(n, k, p_in, p_out, seed, classes.weights(n, seed, theta, gamma, mean)), False)
 
 
 def hsbm(n: int, branching: int, depth: int, probabilities: list[float], seed: int = 0) -> Graph:
     """Blocks in a tree; ``probabilities[l]`` for pairs whose blocks part at level l (0 the root, ``depth`` the same leaf)."""
-    leaves = branching**depth
-    p = F.lit(float(probabilities[0]))
-    for level in range(1, depth + 1):
-        width = branching ** (depth - level)
-        same = F.expr(f"(src % {leaves}) div {width} = (dst % {leaves}) div {width}")
-        p = F.when(same, F.lit(float(probabilities[min(level, len(probabilities) - 1)]))).otherwise(p)
-    top = min(1.0, float(max(probabilities)))
-    return _graph(n, _likely_pairs(n, top, seed).where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < p), False)
-
-
-class NoGraph(ValueError):
-    """The degrees can't be realised, or weren't in the tries allowed."""
-
-
-def configuration_model(degrees: list[int], seed: int = 0, allow_loops: bool = False, allow_multi: bool = False, tries: int = 100, directed: bool = False) -> Graph:
-    """Stubs paired at random; parallel edges collapse where allowed."""
-    if any(d < 0 for d in degrees) or sum(degrees) % 2:
-        raise NoGraph("degrees are not negative and their sum is even")
-    r = random.Random(seed)
-    for _ in range(tries):
-        stubs = [u for u, d in enumerate(degrees) for _ in range(d)]
-        r.shuffle(stubs)
-        pairs = [(min(a, b), max(a, b)) for a, b in zip(stubs[::2], stubs[1::2], strict=True)]
-        if (allow_loops or all(a != b for a, b in pairs)) and (allow_multi or len(set(pairs)) == len(pairs)):
-            return _from_pairs(len(degrees), sorted(set(pairs)), directed)
-    raise NoGraph(f"no graph of these degrees in {tries} tries")
-
-
-def randomize_degree_sequence(g: Graph, seed: int = 0, tries: int = 100, max_nodes: int = 1_000_000) -> Graph:
-    """Another graph of the same nodes and degrees, weight 1."""
-    rows = g.degrees().select("id", "degree").orderBy("id").limit(max_nodes + 1).collect()
-    if len(rows) > max_nodes:
-        raise NoGraph(f"more than {max_nodes} nodes")
-    made = configuration_model([r["degree"] for r in rows], seed, True, True, tries)
-    ids = node_frame([(i, str(r["id"])) for i, r in enumerate(rows)]).select("id", F.col("data").cast("long").alias("real"))
-    s, d = ids.select(F.col("id").alias("src"), F.col("real").alias("s")), ids.select(F.col("id").alias("dst"), F.col("real").alias("d"))
-    edges = made.edges.join(s, "src").join(d, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "w")
-    return Graph(g.nodes, edges, False)
+    return _graph(n, classes.block_tree(n, branching, depth, probabilities, seed), False)
+
+
+def configuration_model(degrees: list[int] | DataFrame, seed: int = 0, allow_loops: bool = False, allow_multi: bool = False, tries: int = 100, directed: bool = False) -> Graph:
+    """Stubs paired at random; parallel edges collapse where allowed.
+
+    ``degrees`` are those of 0, 1, ..., or rows (id, degree), whose ids are kept.
+    """
+    if isinstance(degrees, DataFrame):
+        edges = attached.paired(degrees, seed, allow_loops, allow_multi, tries).distinct()
+        return Graph(degrees.select("id", F.lit(None).cast("string").alias("data")), edges.withColumn("w", F.lit(1).cast("long")), directed)
+    rows = node_frame([(i, str(d)) for i, d in enumerate(degrees)]).select("id", F.col("data").cast("long").alias("degree"))
+    return _graph(len(degrees), attached.paired(rows, seed, allow_loops, allow_multi, tries), directed)
+
+
+def randomize_degree_sequence(g: Graph, seed: int = 0, tries: int = 100, allow_loops: bool = True, allow_multi: bool = True) -> Graph:
+    """Another graph of the same nodes and degrees, weight 1; repeats of an edge collapse where they are allowed."""
+    made = configuration_model(g.degrees().select("id", F.col("degree").cast("long").alias("degree")), seed, allow_loops, allow_multi, tries)
+    return Graph(g.nodes, made.edges, False)
 
 
 def power_law_graph(n: int, gamma: float, seed: int = 0, least: int = 1) -> Graph:
     """Degrees from a power law with exponent ``gamma`` > 2, then stubs paired."""
     if gamma <= 2 or n < 2:
         raise NoGraph("an exponent above 2 and two nodes are needed")
-    r = random.Random(seed)
-    degrees = [min(n - 1, int(least * (1 - r.random()) ** (-1 / (gamma - 1)))) for _ in range(n)]
-    if sum(degrees) % 2:
-        degrees[0] += 1 if degrees[0] < n - 1 else -1
+    grown = F.floor(least * F.pow(1 - uniform(seed, F.col("id")), -1 / (gamma - 1)))
+    degrees = _ids(n).select("id", F.least(F.lit(n - 1), grown).cast("long").alias("degree"))
+    if degrees.agg(F.sum("degree")).first()[0] % 2:
+        one = F.when(F.col("degree") < n - 1, 1).otherwise(-1)
+        degrees = degrees.withColumn("degree", F.col("degree") + F.when(F.col("id") == 0, one).otherwise(0))
     return configuration_model(degrees, seed, True, True)
 
 
@@ -348,11 +217,4 @@ def geometric(n: int, radius: float, seed: int = 0, metric: str = "euclidean", p
 
 def waxman(n: int, alpha: float, beta: float, seed: int = 0) -> Graph:
     """Points in the unit square, joined with probability beta * exp(-d / (alpha * sqrt 2))."""
-    p = _positions(n, seed, 2)
-    s = p.select(F.col("id").alias("src"), F.col("x0").alias("sx"), F.col("x1").alias("sy"))
-    d = p.select(F.col("id").alias("dst"), F.col("x0").alias("dx"), F.col("x1").alias("dy"))
-    length = F.sqrt((F.col("sx") - F.col("dx")) * (F.col("sx") - F.col("dx")) + (F.col("sy") - F.col("dy")) * (F.col("sy") - F.col("dy")))
-    chance = F.lit(beta) * F.exp(-length / F.lit(alpha * math.sqrt(2)))
-    top = min(1.0, float(beta))
-    pairs = _likely_pairs(n, top, seed).join(s, "src").join(d, "dst")
-    return _graph(n, pairs.where(uniform(seed + 1, F.col("src"), F.col("dst")) * top < chance).select("src", "dst"), False)
+    return _graph(n, classes.by_distance(n, _positions(n, seed, 2), alpha, beta, seed), False)

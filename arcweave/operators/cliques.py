@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from arcweave.model import Graph, canonical, dense_ids
 from arcweave.operators import kernels
 from arcweave.operators.euler_rounds import listed, tours_exist
-from arcweave.operators.local import MAX_EDGES, Local, by_component
+from arcweave.operators.local import MAX_EDGES, Local
+from arcweave.operators.maximal_cliques import maximal_clique_rows
 from arcweave.plans.materialize import materialize, stat
 
 
@@ -23,9 +24,9 @@ def all_maximal_cliques(g: Graph, max_edges: int = MAX_EDGES) -> list[list[int]]
     return sorted(list(c) for c in kernels.maximal_cliques(Local.of(g, max_edges)))
 
 
-def maximal_cliques_by_component(g: Graph, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(clique), a task for each component."""
-    return by_component(g, lambda local: [(list(c),) for c in kernels.maximal_cliques(local)], "clique array<long>", max_edges)
+def maximal_cliques_by_component(g: Graph) -> DataFrame:
+    """(clique), a search for each node: see ``maximal_cliques``."""
+    return maximal_clique_rows(g)
 
 
 def k_cliques(g: Graph, k: int) -> DataFrame:

@@ -675,4 +675,4 @@ def edge_ends(spark, sf_dir):
     return g.degrees().where("degree = 0").agg(F.count("*").alias("isolated"))
 
 
-from arcweave import queries_extra, queries_more, queries_rounds  # noqa: E402, F401  register more
+from arcweave import queries_extra, queries_more, queries_random, queries_rounds  # noqa: E402, F401  register more

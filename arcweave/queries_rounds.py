@@ -12,6 +12,7 @@ from arcweave.operators import blocks, matching_rounds, path_tables
 from arcweave.operators.euler_rounds import euler_path_rows, euler_rows
 from arcweave.operators.flow_rounds import max_flow_rows
 from arcweave.operators.matching import matching_rows
+from arcweave.operators.maximal_cliques import maximal_clique_rows
 from arcweave.plans.materialize import materialize
 from arcweave.queries import one_row
 from arcweave.queries_extra import register
@@ -139,6 +140,34 @@ register(
 )
 
 
+# ---- maximal cliques
+
+#: Days within which two orders of a customer are joined.
+DAYS = 200
+
+
+def order_cliques(spark, sf_dir):
+    """Maximal sets of a customer's orders that all lie within ``DAYS``: size, first, last and sum of keys."""
+    orders = ds.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    other = orders.select("o_custkey", F.col("o_orderkey").alias("dst"), F.col("day").alias("then"))
+    near = orders.join(other, "o_custkey").where(F.col("o_orderkey") < F.col("dst")).where(F.abs(F.datediff("then", "day")) <= DAYS)
+    edges = materialize(near.select(F.col("o_orderkey").alias("src"), "dst", F.lit(1).cast("long").alias("w")), "near")
+    g = Graph(orders.select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("data")), edges, False)
+    keys = F.col("clique")
+    return maximal_clique_rows(g).select(F.size(keys).cast("long").alias("size"), F.array_min(keys).alias("low"), F.array_max(keys).alias("high"), F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+#: Orders by day: a window is maximal if it ends later than the window of the order before.
+register(
+    "maximal_cliques_orders", f"""WITH o AS (
+      SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS rn FROM orders),
+    e AS (SELECT a.o_custkey, a.rn, MAX(b.rn) AS final FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.rn >= a.rn AND b.day <= a.day + {DAYS} GROUP BY 1, 2),
+    w AS (SELECT *, LAG(final) OVER (PARTITION BY o_custkey ORDER BY rn) AS before FROM e)
+    SELECT COUNT(*) AS size, MIN(o_orderkey) AS low, MAX(o_orderkey) AS high, CAST(SUM(o_orderkey) AS BIGINT) AS total
+    FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.rn BETWEEN w.rn AND w.final WHERE before IS NULL OR final > before GROUP BY w.o_custkey, w.rn""", order_cliques,
+)
+
+
 # ---- flows: source -> nation -> customer -> order priority -> sink
 
 _SOURCE, _SINK, _PRIORITY = 1, 2, 10

@@ -7,7 +7,7 @@ import pytest
 
 from arcweave.functions.semirings import MAX_MIN, MIN_PLUS
 from arcweave.model import Graph
-from arcweave.operators import approximate, centrality, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, path_tables, paths, shortest_counts
+from arcweave.operators import approximate, centrality, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, maximal_cliques, path_tables, paths, shortest_counts
 from arcweave.operators.local import Local
 from arcweave.plans.materialize import materialize
 
@@ -181,3 +181,34 @@ def test_euler_tours_over_loops_parallel_edges_and_components(spark, directed):
     assert check_tours(spark, edges, directed, False) == 3
     with pytest.raises(ValueError):
         euler_rounds.euler_rows(spark.createDataFrame(edges, "edge long, src long, dst long"), directed)
+
+
+def cliques_by_hand(nodes, edges):
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in nodes}
+    grown = {frozenset([v]) for v in nodes}
+    out = set()
+    while grown:
+        bigger = {c | {v}: None for c in grown for v in nodes if v not in c and c <= near[v]}
+        out |= {c for c in grown if not any(c <= near[v] for v in nodes if v not in c)}
+        grown = set(bigger)
+    return {tuple(sorted(c)) for c in out}
+
+
+@pytest.mark.parametrize("nodes, n, share", [(9, 26, 20_000), (14, 60, 1), (12, 130, 2), (6, 0, 1)])
+def test_maximal_clique_rows(spark, monkeypatch, nodes, n, share):
+    """Dense and sparse graphs, searches shared by several tasks, nodes alone, loops."""
+    monkeypatch.setattr(maximal_cliques, "SHARE", share)
+    draw = random.Random(n)
+    edges = {tuple(sorted(e)): 1 for e in some_edges(draw, nodes, n)} | {(50, 50): 1, (51, 52): 1}
+    g = graph_of(edges, False).add_nodes_from_keys([*range(nodes), 60])
+    want = cliques_by_hand({*range(nodes), 50, 51, 52, 60}, [e for e in edges if e[0] != e[1]])
+    got = [tuple(r["clique"]) for r in maximal_cliques.maximal_clique_rows(g).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_few_neighbours_go_later(spark):
+    """A star and a clique: the hub has no later neighbours though all others join it."""
+    edges = [(0, i) for i in range(1, 200)] + [(a, b) for a in range(300, 305) for b in range(a + 1, 305)]
+    turn = {r["id"]: r["turn"] for r in maximal_cliques.peeled(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert len(turn) == 205 and turn[0] > turn[1]
+    assert [r for r in maximal_cliques.peeled(spark.createDataFrame([], "src long, dst long")).collect()] == []
