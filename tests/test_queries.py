@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parents[1]
 NAMES = [
     "degrees_trade", "pagerank_trade", "all_pairs_trade", "quotient_trade", "line_graph_trade", "multigraph_first", "weak_components_orders", "lca_geo", "spanning_forest_trade",
     "bipartite_sold", "triangles_flow", "labeled_nations", "live_log_events", "scan_edge_list_lines", "strong_product_trade", "mobius_ladder_graph", "io_gdf",
-    "path_rows_rings", "betweenness_flow", "matching_cover_bought", "max_flow_orders",
+    "path_rows_rings", "betweenness_flow", "matching_cover_bought", "max_flow_orders", "maximal_cliques_orders", "random_degrees_rings",
     "bridges_rings", "articulation_points_rings", "k_core_rings", "model_membership", "model_try_add_combined", "random_blocks_between", "toroidal_queen",
 ]
 
