@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcweave.plans.materialize import materialize
+from arcweave.plans.materialize import materialize, stat
 
 LEVELS = ("domain", "lang", "source")
 
@@ -101,29 +101,17 @@ def place(epoch: Column, seed: int, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def mix(
-    docs: DataFrame,
-    budget: Column,
-    domain: Column | None = None,
-    weights: dict[str, dict[str, float]] | None = None,
-    seed: int = 7,
-    max_epochs: int = 1,
-    bin_digits: int = 3,
-) -> DataFrame:
-    """The rows chosen from ``docs`` (doc_id, text, lang, source).
+def _measured(docs: DataFrame, domain: Column | None) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens) of every row."""
+    where = domain if domain is not None else F.lit("all")
+    return materialize(docs.select("doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")), "tokens")
 
-    ``budget`` is an expression over the leaves' ``total`` tokens, such as
-    ``F.lit(10**12)`` or ``F.sum("total") * 0.5``.  Returns doc_id, domain,
-    lang, source, n_tokens, epoch (from 0) and ``before``, the tokens of the
-    leaf's prefix before the row.
-    """
+
+def _open_bins(measured: DataFrame, budget: Column, weights: dict, seed: int, max_epochs: int, bin_digits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``measured`` in each epoch with place and bin, and the bins that begin within the budget of their leaf."""
     leaf = list(LEVELS)
-    measured = materialize(
-        docs.select("doc_id", (domain if domain is not None else F.lit("all")).alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")),
-        "tokens",
-    )
     leaves = materialize(measured.groupBy(*leaf).agg(F.sum("n_tokens").alias("total")), "leaves")
-    shares = materialize(budgets(leaves, budget, weights or {}, max_epochs), "shares")
+    shares = materialize(budgets(leaves, budget, weights, max_epochs), "shares")
     # epoch e of a leaf runs while e * total is within the budget
     rows = measured.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
     rows = rows.withColumn("place", place(F.col("epoch"), seed, F.col("doc_id"))).withColumn("bin", F.substring("place", 1, bin_digits))
@@ -134,48 +122,82 @@ def mix(
     upto = Window.partitionBy(*leaf).orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = sums.groupBy(*leaf, "epoch", "part").agg(F.sum("n").alias("whole")).withColumn("base", F.sum("whole").over(upto) - F.col("whole"))
     w = Window.partitionBy(*leaf, "epoch", "part").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in leaf]
-    parted = [*same("s", "p"), F.col("s.epoch") == F.col("p.epoch"), F.col("s.part") == F.col("p.part")]
+    parted = [*_same("s", "p", leaf), F.col("s.epoch") == F.col("p.epoch"), F.col("s.part") == F.col("p.part")]
     summed = sums.withColumn("within", F.sum("n").over(w)).alias("s").join(parts.alias("p"), parted).select("s.*", (F.col("base") + F.col("within")).alias("upto"))
-    bins = summed.alias("s").join(shares.alias("t"), same("s", "t")).select(
+    bins = summed.alias("s").join(shares.alias("t"), _same("s", "t", leaf)).select(
         *[F.col(f"s.{k}").alias(k) for k in leaf], "epoch", "bin", "upto", (F.col("upto") - F.col("n")).alias("start"), "budget"
     )
-    bins = materialize(bins.where("start <= budget"), "open-bins")
+    return rows, materialize(bins.where("start <= budget"), "open-bins")
+
+
+def _same(a: str, b: str, keys: list[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+
+def _summed(rows: DataFrame, bins: DataFrame) -> DataFrame:
+    """The rows in ``bins`` with ``after``, the tokens of the leaf up to and with each."""
+    leaf = list(LEVELS)
     near = rows.alias("r").join(
-        bins.alias("b"), [*same("r", "b"), F.col("r.epoch") == F.col("b.epoch"), F.col("r.bin") == F.col("b.bin")]
+        bins.alias("b"), [*_same("r", "b", leaf), F.col("r.epoch") == F.col("b.epoch"), F.col("r.bin") == F.col("b.bin")]
     ).select("doc_id", *[F.col(f"r.{k}").alias(k) for k in leaf], "n_tokens", F.col("r.epoch").alias("epoch"), F.col("r.bin").alias("bin"), "place", "upto", "start", "budget")
     # documents in one bin: about 1 / 16 ** bin_digits of a leaf
     within = Window.partitionBy(*leaf, "epoch", "bin").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumn("after", F.col("start") + F.sum("n_tokens").over(within))
+
+
+def mix(
+    docs: DataFrame,
+    budget: Column,
+    domain: Column | None = None,
+    weights: dict[str, dict[str, float]] | None = None,
+    seed: int = 7,
+    max_epochs: int = 1,
+    bin_digits: int = 3,
+) -> DataFrame:
+    """The rows chosen from ``docs`` (doc_id, text, lang, source).
+
+    ``budget`` is an expression over the leaves' ``total`` tokens, such as
+    ``F.lit(10**12)`` or ``F.sum("total") * 0.5``.  Returns doc_id, domain,
+    lang, source, n_tokens, epoch (from 0) and ``before``, the tokens of the
+    leaf's prefix before the row.
+    """
+    rows, bins = _open_bins(_measured(docs, domain), budget, weights or {}, seed, max_epochs, bin_digits)
     return (
-        near.withColumn("after", F.col("start") + F.sum("n_tokens").over(within))
+        _summed(rows, bins)
         .where("after <= budget")
-        .select("doc_id", *leaf, "n_tokens", "epoch", (F.col("after") - F.col("n_tokens")).alias("before"))
+        .select("doc_id", *LEVELS, "n_tokens", "epoch", (F.col("after") - F.col("n_tokens")).alias("before"))
     )
 
 
-def keep_mixed(docs: DataFrame, budget: Column, domain: Column | None = None, weights=None, seed: int = 7) -> DataFrame:
+def keep_mixed(docs: DataFrame, budget: Column, domain: Column | None = None, weights=None, seed: int = 7, bin_digits: int = 3) -> DataFrame:
     """The rows of ``docs`` chosen in one epoch, with all their columns.
 
     Rows that repeat doc_id, place in the tree and tokens count one by one: of
     n of them as many stay as the budget took, the first by text.
+
+    What a leaf gives is a prefix of its order, so it is told by the first row
+    beyond the budget: one row a leaf, found in the one bin in which the budget
+    ends.  The texts meet only those rows and are not shuffled for them.
     """
     where = domain if domain is not None else F.lit("all")
     keys = ["doc_id", *LEVELS, "n_tokens"]
-    taken = mix(docs, budget, domain, weights, seed, 1).groupBy(*keys).agg(F.count("*").alias("k"))
-    have = docs.select("doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")).groupBy(*keys).agg(F.count("*").alias("n"))
-
-    def same(a: str, b: str) -> list[Column]:
-        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-
-    marked = have.alias("h").join(taken.alias("t"), same("h", "t")).select("h.*", F.when(F.col("k") < F.col("n"), F.col("k")).alias("some"))
-    marked = materialize(marked, "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")).alias("r")
-    whole = marked.where("some IS NULL").alias("m")
-    kept = rows.join(whole, same("r", "m"), "left_semi").select("doc")
-    partial = marked.where("some IS NOT NULL")
-    if not partial.isEmpty():
+    rows, bins = _open_bins(_measured(docs, where), budget, weights or {}, seed, 1, bin_digits)
+    last = materialize(_summed(rows, bins.where("upto > budget")), "last-bins")
+    cuts = materialize(last.where("after > budget").groupBy(*LEVELS).agg(F.min(F.struct("place", "doc_id", "n_tokens")).alias("cut")), "cuts")
+    # rows like the first one beyond: some of them may be within
+    like = [*_same("l", "c", list(LEVELS)), F.col("l.place") == F.col("cut.place"), F.col("l.doc_id").eqNullSafe(F.col("cut.doc_id")), F.col("l.n_tokens") == F.col("cut.n_tokens")]
+    partial = last.where("after <= budget").alias("l").join(cuts.alias("c"), like).select("l.*").groupBy(*keys).agg(F.count("*").alias("some"))
+    partial = materialize(partial, "taken", n=F.count("*"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", where.alias("domain"), "lang", "source", place(F.lit(0), seed, F.col("doc_id")).alias("place"), "text").alias("r")
+    # tokens are counted again only for the documents at the cut
+    at = F.struct(F.col("r.doc_id").alias("doc_id"), tokens(F.col("r.text")).alias("n_tokens"))
+    before = F.when(F.col("cut").isNull(), True).when(F.col("r.place") != F.col("cut.place"), F.col("r.place") < F.col("cut.place"))
+    before = before.otherwise(at < F.struct(F.col("cut.doc_id").alias("doc_id"), F.col("cut.n_tokens").alias("n_tokens")))
+    kept = whole.join(cuts.alias("c"), _same("r", "c", list(LEVELS)), "left").where(before).select("doc")
+    if stat(partial, "n"):
         # repeated rows are counted by text and ranked by those counts; rows alike in text are cut by salted ranks
-        some = materialize(rows.join(partial.alias("m"), same("r", "m")).select("doc", *[F.col(f"m.{k}").alias(k) for k in keys], "some")
+        counted = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", where.alias("domain"), "lang", "source", tokens(F.col("text")).alias("n_tokens")).alias("r")
+        some = materialize(counted.join(partial.alias("m"), _same("r", "m", keys)).select("doc", *[F.col(f"m.{k}").alias(k) for k in keys], "some")
             .withColumns({"text": F.coalesce("doc.text", F.lit("")), "salt": F.spark_partition_id()}), "repeated")
         counts = some.groupBy(*keys, "text", "salt").agg(F.count("*").alias("n"))
         before = Window.partitionBy(*keys).orderBy("text", "salt").rowsBetween(Window.unboundedPreceding, -1)

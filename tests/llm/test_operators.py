@@ -912,6 +912,18 @@ def test_keep_mixed_holds_its_budget(spark):
         assert all(n <= have[k] for k, n in Counter((r["doc_id"], r["text"]) for r in got).items())
 
 
+def test_keep_mixed_moves_no_texts(spark, sf):
+    """Joins with texts have one row a leaf on the other side: without broadcasts by size a list of ids would shuffle the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    args = (F.floor(F.sum("total") * 0.8), queries.mix_domain(), queries.MIX_WEIGHTS, 7)
+    want = {r["doc_id"] for r in mixing.mix(docs, *args).select("doc_id").collect()}
+    kept = mixing.keep_mixed(docs, *args)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and 0 < len(want) < docs.count()
+    small = [f for f in kept.inputFiles() if "/documents.parquet" not in f]
+    leaves = docs.select(queries.mix_domain(), "lang", "source").distinct().count()
+    assert sum(spark.read.parquet(f).count() for f in small) <= leaves
+
+
 def test_keep_one_of_repeated_rows(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(4, base)] * 40 + [(4, "b " + base), (None, base), (9, base), (None, "lonely one here now"), (None, "lonely one here now"), (2, None), (2, "")]
