@@ -14,12 +14,16 @@ doc_id.
    one that meets most others over all bands (the original of edited copies,
    whose edits differ).  Links to hubs join components.
 4. Pairs that share a hub and are of different components are left.  One of the
-   two, x, isn't linked to the hub h.  If all that x and y share lies in h, they
-   share at most min(|x & h|, |y & h|), a bound that few pairs reach since x is
-   too far from h; otherwise they share a shingle that h lacks.  So candidates
-   are pairs within the bound, and pairs that meet in an index of the shingles
-   beside the hub's.  Both ways are exact: no link is given up for a group's
-   size, and the pairs of a group are not listed.  A pair must agree on as many
+   two, x, isn't linked to the hub h.  With X the shingles in which x and h
+   differ (either way), x and y differ in the shingles in which X and Y do, so
+   how much of X and Y must be common follows from the sizes: at least one
+   shingle and, if neither is linked to h, over (100 - percent) / (100 + percent)
+   of h.  The shingles of X are put in order, the rarest about the hub first;
+   sets that have t in common meet in one that t - 1 or more follow on either
+   side (prefix filtering).  So only the first of each go into an index, and a
+   meeting counts if enough follow.  This is exact: no link is given up for a
+   group's size.  What half of a large group has (or lacks) comes last and is
+   hardly indexed, so its pairs are not listed.  A pair must agree on as many
    minima as a linked pair does but for a chance of 1e-11 (signature
    verification) and is then confirmed on the full sets.
 5. Components are those of the confirmed links by alternating large-star and
@@ -27,8 +31,8 @@ doc_id.
 
 Scale: what is shuffled per distinct set are its signature once and 20 bytes a
 band twice; full sets are taken only of documents that share a bucket.  Hot
-buckets are pre-aggregated (counts, hubs); the members of a hub are spread over
-salted keys and joins are equi-joins that adaptive execution can split.  The
+buckets are pre-aggregated (counts, hubs), and joins are equi-joins that
+adaptive execution can split.  The
 driver sees loop statistics only.
 
 Defined results: null and blank texts have an empty set, link with nothing and
@@ -47,8 +51,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arcweave.llm.common import map_rows, slices, texts
 from arcweave.operators.components import component_links
@@ -56,8 +61,6 @@ from arcweave.plans.materialize import discard, materialize, stat
 
 #: Minima a band, and bands.
 ROWS, BANDS = 5, 40
-#: Keys over which the members of one hub are spread.
-SALTS = 16
 #: Shingles whose hashes exist at a time.
 CHUNK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -185,22 +188,25 @@ def _with_sets(pairs: DataFrame, full: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _against_hubs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(id, hub, n, both, linked, added) of ``pairs`` (id, hub): what a set shares with its hub, and what it has besides."""
-    names = ["id", "hub", "n", "both", "linked", "added"]
+    """(id, hub, n, linked, apart) of ``pairs`` (id, hub): a set's size, and the shingles in which it and its hub differ.
+
+    Shingles that the set lacks have their bits turned.
+    """
+    names = ["id", "hub", "n", "linked", "apart"]
 
     def work(batches):
         for batch in slices(batches):
-            n, both, linked, added = [], [], [], []
+            n, linked, apart = [], [], []
             for s, t, x, y in zip(*(texts(batch.column(i)) for i in range(2, 6)), strict=True):
                 p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 own = np.setdiff1d(p, q, assume_unique=True)
+                both = len(p) - len(own)
                 n.append(len(p))
-                both.append(len(p) - len(own))
-                linked.append(_agree(s, t, percent) and _enough(both[-1], len(p), len(q), percent))
-                added.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(added, pa.binary())], names=names)
+                linked.append(_agree(s, t, percent) and _enough(both, len(p), len(q), percent))
+                apart.append(np.concatenate((own, ~np.setdiff1d(q, p, assume_unique=True))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.binary())], names=names)
 
-    return _with_sets(pairs, full, "id", "hub").mapInArrow(work, "id long, hub long, n long, both long, linked boolean, added binary")
+    return _with_sets(pairs, full, "id", "hub").mapInArrow(work, "id long, hub long, n long, linked boolean, apart binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +224,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _elements(todo: DataFrame) -> DataFrame:
-    """A row for each shingle that a member of ``todo`` has besides its hub's."""
+    """(hub, id, e): a row for each shingle in which a member of ``todo`` and its hub differ."""
 
     def work(batches):
         for batch in slices(batches):
@@ -227,25 +233,41 @@ def _elements(todo: DataFrame) -> DataFrame:
                 sizes = [len(h) for h in held]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1)] + [pa.array(np.concatenate(held))], names=["hub", "id", "e"])
 
-    return todo.select("hub", "id", "added").mapInArrow(work, "hub long, id long, e long").join(todo.drop("added"), ["hub", "id"])
+    return todo.select("hub", "id", "apart").mapInArrow(work, "hub long, id long, e long")
 
 
 def _open_pairs(todo: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that could still be linked, by their relation to a common hub."""
-    other = {"id": "other", "n": "m", "both": "both2", "own": "own2", "comp": "comp2"}
+    """(a, b): pairs of different components that could still be linked, by how they differ from a common hub.
+
+    x and y, which differ from the hub in d and d2 shingles, are linked if they
+    differ in at most (100 - percent) / (100 + percent) of their sizes' sum, so
+    if (excess + excess2) / (2 * (100 + percent)) of those shingles are common.
+    """
+    per = 100 + percent
+    members = todo.withColumn("d", (F.length("apart") / 8).cast("long")).withColumn("excess", per * F.col("d") - (100 - percent) * F.col("n"))
+    least = members.groupBy("hub").agg(F.min("excess").alias("any"), F.min(F.when(F.col("asks"), F.col("excess"))).alias("asking"))
+    # a partner is within 100 / percent of the size and differs in (100 - percent) / percent of it at most
+    alone = F.ceil(F.col("d") - (100 - percent) * F.col("n") / percent)
+
+    def first(other: str) -> Column:
+        """How many shingles must be looked at to meet any partner whose excess is at least ``other``."""
+        return F.col("d") + 1 - F.greatest(F.lit(1), alone, F.ceil((F.col("excess") + F.col(other)) / (2 * per)))
+
+    # one that doesn't ask meets those that do; one that asks meets all
+    upto = F.when(F.col("asks"), first("any")).otherwise(first("asking"))
+    members = members.join(least, "hub").select("hub", "id", "n", "d", "excess", "comp", "asks", upto.alias("upto"))
+    every = _elements(todo)
+    common = every.groupBy("hub", "e").agg(F.count("*").alias("c"))
+    # the place counts all shingles; those of one member alone meet nothing
+    rarest = Window.partitionBy("hub", "id").orderBy("c", "e")
+    placed = every.join(common, ["hub", "e"]).withColumn("at", F.row_number().over(rarest)).where("c > 1").drop("c")
+    index = materialize(placed.join(members.where("upto > 0"), ["hub", "id"]).where("at <= upto").drop("upto"), "index")
+    other = {"id": "other", "n": "m", "d": "d2", "excess": "excess2", "comp": "comp2", "at": "at2"}
+    asking = index.where("asks").select("hub", "e", *[F.col(k).alias(v) for k, v in other.items()])
     apart = (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-
-    def met(members: DataFrame, keys: list[str], most) -> DataFrame:
-        able = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
-        asking = members.where("asks").select(*keys, *[F.col(k).alias(v) for k, v in other.items()])
-        return members.join(asking, keys).where(apart & able).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-
-    salted = todo.drop("added").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    asked = salted.where("asks").select("hub", *[F.col(k).alias(v) for k, v in other.items()], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    within = (100 + percent) * F.least("both", "both2") >= percent * (F.col("n") + F.col("m"))
-    inside = salted.join(asked, ["hub", "salt"]).where(apart & within).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    outside = met(_elements(todo), ["hub", "e"], F.least("both", "both2") + F.least("own", "own2"))
-    return inside.union(outside).distinct()
+    follow = 1 + F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2"))
+    met = index.join(asking, ["hub", "e"]).where(apart & (2 * per * follow >= F.col("excess") + F.col("excess2")))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -260,7 +282,7 @@ def near_links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     comps = materialize(component_links(links, "a", "b"), "comps")
     of = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"{k}_comp"))
     placed = against.join(of("id"), "id", "left").join(of("hub"), "hub", "left").select(
-        "hub", "id", "n", "both", (F.col("n") - F.col("both")).alias("own"), "added", F.coalesce("id_comp", "id").alias("comp"),
+        "hub", "id", "n", "apart", F.coalesce("id_comp", "id").alias("comp"),
         (F.coalesce("id_comp", "id") != F.coalesce("hub_comp", "hub")).alias("asks"),
     )
     placed = materialize(placed, "placed", n=F.count_if("asks"))

@@ -96,6 +96,21 @@ def test_minhash_star_of_copies_that_link_only_through_their_original(spark):
     assert {g[2] for g in got} == {100}
 
 
+def test_minhash_lists_no_pairs_of_a_group_that_shares_a_passage(spark, monkeypatch):
+    """Copies just below the threshold that share a passage beside their original's words: only near pairs are confirmed."""
+    draw = random.Random(8)
+    base, passage, rows = some_words(draw, 200, 10**6), some_words(draw, 9, 10**6), []
+    for i in range(40):
+        copy = edited(draw, base, 12) + passage
+        rows += [(2 * i, " ".join(copy)), (2 * i + 1, " ".join(edited(draw, copy, 2)))][: 1 + (i < 5)]
+    rows += [(500 + i, " ".join(edited(draw, base, 2))) for i in range(5)]
+    tried, whole = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a: tried.append(pairs.count()) or whole(pairs, *a))
+    got = check_near(spark, rows)
+    assert sum(g[2] == 2 * i for g in got for i in range(5) if g[0] == 2 * i + 1) == 5
+    assert 1 <= sum(tried) <= 2 * len(rows)  # over 900 pairs share the passage
+
+
 def test_minhash_chains_and_near_misses(spark):
     draw = random.Random(7)
     rows, at = [], 0
