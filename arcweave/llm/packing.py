@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcweave.llm.common import slices
+from arcweave.llm.common import give_back, slices
 from arcweave.plans.materialize import materialize
 
 SIZE = 2048
@@ -90,6 +90,7 @@ class Encoder:
                 return ids
 
         self._words = Words()
+        give_back()
 
     def __call__(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text:

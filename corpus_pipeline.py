@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm import linededup, mixing, packing, quality, queries, simhash
+from arcweave.llm.common import SLICE
 from arcweave.plans.materialize import materialize
 from arcweave.plans.ship import ship
 
@@ -18,21 +19,33 @@ from arcweave.plans.ship import ship
 KEPT_SHARE = 0.8
 
 
+def _ready(spark: SparkSession) -> None:
+    """Ship the package, and hand texts to Python in batches of the size that the operators work on.
+
+    Larger ones stand in the memory of executors and of workers, and what a
+    stage has taken stays with them through the later stages.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE:
+        spark.conf.set(key, SLICE)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voting rules find good."""
-    ship(spark)
+    _ready(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that at least five documents share, but for the last."""
-    ship(spark)
+    _ready(spark)
     return linededup.drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship(spark)
+    _ready(spark)
     return simhash.keep_one(docs)
 
 
@@ -43,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
-    ship(spark)
+    _ready(spark)
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_components, brute_fp, brute_lines, brute_mix, check_packing
 
 from arcweave.llm import quality, queries
+from arcweave.llm.common import SLICE
 from arcweave.plans.materialize import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,18 @@ def test_stages(spark):
         docs = out
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", SLICE), ("100", 100), ("0", SLICE)):
+            spark.conf.set(key, given)
+            corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     lengths = defaultdict(int)
