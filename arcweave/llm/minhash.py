@@ -23,7 +23,7 @@ doc_id.
    side (prefix filtering).  So only the first of each go into an index, and a
    meeting counts if enough follow.  This is exact: no link is given up for a
    group's size.  What half of a large group has (or lacks) comes last and is
-   hardly indexed, so its pairs are not listed.  A pair must agree on as many
+   hardly indexed, so few of its pairs are listed.  A pair must agree on as many
    minima as a linked pair does but for a chance of 1e-11 (signature
    verification) and is then confirmed on the full sets.
 5. Components are those of the confirmed links by alternating large-star and
