@@ -212,3 +212,19 @@ def test_few_neighbours_go_later(spark):
     turn = {r["id"]: r["turn"] for r in maximal_cliques.peeled(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert len(turn) == 205 and turn[0] > turn[1]
     assert [r for r in maximal_cliques.peeled(spark.createDataFrame([], "src long, dst long")).collect()] == []
+
+
+def test_a_small_file_of_many_rows_is_not_broadcast(spark):
+    """A million rows in a file of a few MB were planned as a broadcast, which the driver hashes."""
+    from pyspark.sql import functions as F
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        many = materialize(spark.range(1_000_000).select("id", (F.col("id") % 25).alias("hub")), "many")
+        plan = many.join(many.withColumnRenamed("hub", "other"), "id")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10MB"
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
