@@ -7,7 +7,7 @@ import pytest
 
 from arcweave.functions.semirings import MAX_MIN, MIN_PLUS
 from arcweave.model import Graph
-from arcweave.operators import approximate, centrality, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, maximal_cliques, path_tables, paths, shortest_counts
+from arcweave.operators import approximate, centrality, contraction, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, maximal_cliques, path_tables, paths, shortest_counts
 from arcweave.operators.local import Local
 from arcweave.plans.materialize import materialize
 
@@ -228,3 +228,35 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed, rest", [(1, 0), (2, 5)])
+def test_contraction(spark, seed, rest):
+    """Components, sides and odd cycles by rounds of contraction, with loops, repeats, nulls and ids of any sign."""
+    draw = random.Random(seed)
+    links = [(draw.randrange(-40, 40), draw.randrange(-40, 40)) for _ in range(45)] + [(1000 + i, 1001 + i) for i in range(30)] + [(7, 7), (500, 500), (None, 3)]
+    links += [(2000 + i, 2000 + (i + 1) % 5) for i in range(5)] + [(3000 + i, 3000 + (i + 1) % 6) for i in range(6)]
+    near = defaultdict(set)
+    for u, v in links:
+        if u is not None and v is not None:
+            near[u].add(v)
+            near[v].add(u)
+    want = set()
+    for start in sorted(near):
+        if any(start == w[0] for w in want):
+            continue
+        side, todo, odd = {start: 0}, [start], False
+        while todo:
+            x = todo.pop()
+            for y in near[x]:
+                if y not in side:
+                    side[y] = 1 - side[x]
+                    todo.append(y)
+                odd |= side[y] == side[x]
+        want |= {(x, start, None if odd else s, odd) for x, s in side.items()}
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {(r["node"], r["component"], None if r["odd"] else r["side"], r["odd"]) for r in contraction.contracted(frame, "a", "b", True, rest).collect()}
+    assert got == want
+    plain = {(r["node"], r["component"]) for r in contraction.contracted(frame, "a", "b", rest=rest).collect()}
+    assert plain == {w[:2] for w in want}
+    assert {tuple(r) for r in contraction.component_links(frame, "a", "b").collect()} == plain
