@@ -7,7 +7,7 @@ import pytest
 
 from arcweave.functions.semirings import MAX_MIN, MIN_PLUS
 from arcweave.model import Graph
-from arcweave.operators import approximate, centrality, contraction, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, maximal_cliques, path_tables, paths, shortest_counts
+from arcweave.operators import approximate, centrality, contraction, euler_rounds, flow, flow_rounds, health, kernels, matching, matching_rounds, maximal_cliques, path_tables, paths, ranking, shortest_counts
 from arcweave.operators.local import Local
 from arcweave.plans.materialize import materialize
 
@@ -260,3 +260,13 @@ def test_contraction(spark, seed, rest):
     plain = {(r["node"], r["component"]) for r in contraction.contracted(frame, "a", "b", rest=rest).collect()}
     assert plain == {w[:2] for w in want}
     assert {tuple(r) for r in contraction.component_links(frame, "a", "b").collect()} == plain
+
+
+@pytest.mark.parametrize("rest", [0, 8, 1000])
+def test_lists_are_ranked_by_contraction(spark, rest):
+    draw = random.Random(rest)
+    ids = draw.sample(range(-500, 500), 90)
+    lists = [ids[:1], ids[1:3], ids[3:6], ids[6:30], ids[30:]]
+    links = [(x, y) for part in lists for x, y in zip(part, [*part[1:], None], strict=True)]
+    got = {r["at"]: r["d"] for r in ranking.ranked(spark.createDataFrame(links, "at long, next long"), rest).collect()}
+    assert got == {x: len(part) - 1 - i for part in lists for i, x in enumerate(part)}
