@@ -291,3 +291,17 @@ def test_least_cut_of_a_long_path(spark):
         assert flow.global_min_cut(Graph.from_frames(None, path, False)) == flow.GlobalMinCut(2, 1235, 1766)
     finally:
         kernels.global_min_cut = held
+
+
+def test_trails_that_meet_nowhere_take_no_forest(spark, monkeypatch):
+    """Each component is one closed trail, so nothing is merged."""
+
+    def none(*_):
+        raise AssertionError("a forest over all vertices")
+
+    monkeypatch.setattr(euler_rounds, "spanning_forest", none)
+    edges = spark.createDataFrame([(10 * c + i, 10 * c + i, 10 * c + (i + 1) % 4) for c in range(3) for i in range(4)], "edge long, src long, dst long")
+    for directed in (True, False):
+        got = euler_rounds.euler_rows(edges, directed).orderBy("component", "position").collect()
+        assert [(r["component"], r["position"]) for r in got] == [(10 * c, i) for c in range(3) for i in range(4)]
+        assert all(a["dst"] == b["src"] for a, b in zip(got, got[1:], strict=False) if a["component"] == b["component"])
